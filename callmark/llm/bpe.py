@@ -41,6 +41,7 @@ class PrefixBpe:
     def __init__(self, path: str):
         import ahocorasick
         import regex
+        from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
         vocab, merges = spec["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
@@ -67,6 +68,8 @@ class PrefixBpe:
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACES}\p{{L}}\p{{N}}]+")
+        self.latin = regex.compile("[\x00-\u024f]*")
+        self.library = Tokenizer.from_file(path)  # for its normalizer and its splitter only
         self.spaces = regex.compile(rf"[{SPACES}]+")
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
 
@@ -118,9 +121,8 @@ class PrefixBpe:
             _, i = min(found)
             ids[i : i + 2] = [self.joined[ids[i], ids[i + 1]][1]]
 
-    def word(self, piece: str) -> list[int]:
-        letters = self.letters
-        body = piece if piece.isalnum() and piece.isascii() else "".join([letters[b] for b in piece.encode()])
+    def letters_of_word(self, body: str) -> list[int]:
+        """body: a letter for each byte of the word."""
         n = len(body)
         last, back, pairs = [-1] * (n + 1), [0] * (n + 1), self.pairs
         for end, (token, size, closed) in self.ends.iter(body + "\n"):
@@ -143,18 +145,21 @@ class PrefixBpe:
         ids, at = [], n
         while at:
             if last[at] < 0:
-                raise ValueError(f"no encoding of {piece!r}")
+                raise ValueError(f"no encoding of {body!r}")
             ids.append(last[at])
             at = back[at]
         return ids[::-1]
 
     def plain(self, text: str) -> list[int]:
         if text.isascii():
-            text = text.lower()
-        else:
-            text = "".join([c.lower() for c in self.spaces.sub(" ", unicodedata.normalize("NFC", text))])
-        found = self.split.findall(text)
-        return [i for piece in found for i in self.word(piece)]
+            pieces = self.split.findall(text.lower())
+        elif self.latin.fullmatch(text):
+            pieces = self.split.findall("".join([c.lower() for c in self.spaces.sub(" ", unicodedata.normalize("NFC", text))]))
+        else:  # rare letters: their classes as the library's edition of Unicode has them
+            library = self.library
+            return [i for body, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text)) for i in self.letters_of_word(body)]
+        letters = self.letters
+        return [i for piece in pieces for i in self.letters_of_word(piece if piece.isascii() and piece.isalnum() else "".join([letters[b] for b in piece.encode()]))]
 
     def encode(self, text: str) -> list[int]:
         """Any text; white space between chunks separates words, so chunks can be encoded one by one."""
