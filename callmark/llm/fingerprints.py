@@ -84,7 +84,7 @@ def ranges(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
 
     n = max(LEAST_RANGES, docs.count() // rows_per_range)
     marks = docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n)
-    splits = [float("-inf"), *sorted(set(marks)), float("inf")]
+    splits = [float("-inf"), *(sorted(set(marks)) or [0.0]), float("inf")]
     keyed = docs.withColumn("_key", F.col("doc_id").cast("double"))
     return Bucketizer(splits=splits, inputCol="_key", outputCol="_range", handleInvalid="keep").transform(keyed).withColumn(
         "_range", F.when(F.col("_key").isNull(), F.lit(-1)).otherwise(F.col("_range").cast("int"))
