@@ -27,8 +27,8 @@ KINDS = ("assign", "access", "hex", "markov")
 FIRST, WIDTH = 43, 80
 #: Nats per pair of characters above which a run is a secret.
 THRESHOLD = 0.9
-#: Pseudo-counts per pair of characters.
-SMOOTH = 0.5
+#: Pseudo-count per pair of characters in ordinary identifiers; share of the even distribution over KEYS characters in random strings.
+SMOOTH, EVEN, KEYS = 0.05, 0.5, 64
 
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
@@ -54,12 +54,14 @@ def train(labelled: DataFrame) -> list[float]:
     """log P(b | a, random) - log P(b | a, ordinary) at a * WIDTH + b, from value and random."""
     pairs = labelled.select("random", F.explode(_pairs(F.col("value"))).alias("pair"))
     counted = pairs.groupBy("random", "pair").agg(F.count("*").alias("n")).collect()  # at most 2 x WIDTH x WIDTH rows
-    n = {True: [SMOOTH] * (WIDTH * WIDTH), False: [SMOOTH] * (WIDTH * WIDTH)}
+    size = WIDTH * WIDTH
+    n = {True: [0.0] * size, False: [SMOOTH] * size}
     for r in counted:
-        if r["random"] is not None and 0 <= r["pair"] < WIDTH * WIDTH:
+        if r["random"] is not None and 0 <= r["pair"] < size:
             n[r["random"]][r["pair"]] += r["n"]
-    rows = {k: [sum(v[a * WIDTH : (a + 1) * WIDTH]) for a in range(WIDTH)] for k, v in n.items()}
-    return [math.log(n[True][i] / rows[True][i // WIDTH]) - math.log(n[False][i] / rows[False][i // WIDTH]) for i in range(WIDTH * WIDTH)]
+    rows = {k: [sum(v[a * WIDTH : (a + 1) * WIDTH]) or 1.0 for a in range(WIDTH)] for k, v in n.items()}
+    share = lambda k, i: n[k][i] / rows[k][i // WIDTH]
+    return [math.log((1 - EVEN) * share(True, i) + EVEN / KEYS) - math.log(share(False, i)) for i in range(size)]
 
 
 def _table(model: list[float]) -> Column:
