@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from callmark.llm.bpe import op10_bpe
 from callmark.llm.fingerprints import op7_order_minhash
+from callmark.llm.ngram_join import op6_ngram_jaccard
 from callmark.llm.packing import op8_nnls_packing
 from callmark.llm.secrets import op5_markov_secrets
 from callmark.llm.sharding import op3_minimax_shards
@@ -11,6 +12,7 @@ from callmark.llm.sharding import op3_minimax_shards
 QUERIES = {
     "op3_minimax_shards": op3_minimax_shards,
     "op5_markov_secrets": op5_markov_secrets,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_order_minhash": op7_order_minhash,
     "op8_nnls_packing": op8_nnls_packing,
     "op10_bpe": op10_bpe,
