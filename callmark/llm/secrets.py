@@ -98,7 +98,7 @@ def _spans(text: Column, pattern: str, kind: int, keep, group: int = 0) -> Colum
 
 
 def find_secrets(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """docs with base and added: arrays of (start, kind, stop) in order; kind is a place in KINDS."""
+    """docs with base_spans and added_spans: arrays of (start, kind, stop) in order; kind is a place in KINDS."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.concat(
         _spans(text, ASSIGN, 0, lambda value: F.length(value) >= 6, 2),
@@ -116,7 +116,7 @@ def find_secrets(docs: DataFrame, model: list[float], threshold: float = THRESHO
     suspect = docs.withColumn("_base", F.array_sort(base)).withColumn("_some", F.exists(runs, secret))
     found = F.when(F.col("_some"), _spans(text, RUN, 3, secret)).otherwise(F.array().cast(SPAN))
     overlaps = lambda s: F.exists("_base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    return suspect.withColumn("_added", F.filter(found, lambda s: ~overlaps(s))).withColumnsRenamed({"_base": "base", "_added": "added"}).drop("_some")
+    return suspect.withColumn("_added", F.filter(found, lambda s: ~overlaps(s))).withColumnsRenamed({"_base": "base_spans", "_added": "added_spans"}).drop("_some")
 
 
 def _written(spans: Column) -> Column:
@@ -126,7 +126,7 @@ def _written(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text") -> DataFrame:
-    """docs with base and added, without those columns; each span of the text replaced by a mark."""
+    """docs with base_spans and added_spans, without those columns; each span of the text replaced by a mark."""
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -134,21 +134,21 @@ def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text") -> D
         kept = F.when(s["start"] >= a["at"], F.concat(F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.greatest(a["at"], s["stop"]).alias("at"), F.concat(a["out"], kept).alias("out"))
 
-    spans = F.array_sort(F.concat("base", "added"))
+    spans = F.array_sort(F.concat("base_spans", "added_spans"))
     clean = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))))
-    return docs.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).drop("base", "added")
+    return docs.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).drop("base_spans", "added_spans")
 
 
 def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = find_secrets(docs, train(samples(docs)))
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         "doc_id",
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
-        F.sha2(_written(F.col("base")), 256).alias("base_sha256"),
-        _written(F.array_sort(F.concat("base", "added"))).alias("spans"),
-        F.size("added").cast("long").alias("n_markov"),
+        F.sha2(_written(F.col("base_spans")), 256).alias("base_sha256"),
+        _written(F.array_sort(F.concat("base_spans", "added_spans"))).alias("spans"),
+        F.size("added_spans").cast("long").alias("n_markov"),
     )
