@@ -24,7 +24,7 @@ def islands(df: DataFrame, keys: list[str], start: str, stop: str, slack: int, b
     marked = b.join(reach, [*keys, "_bin"]).withColumn("_seen", seen)
     marked = marked.withColumn("_first", F.when(F.col("_seen").isNull() | (F.col("_seen") + slack < F.col(start)), F.col(start))).drop("_seen", "_before")
     last = marked.groupBy(*keys, "_bin").agg(F.max("_first").alias("_last")).withColumn("_open", F.max("_last").over(ahead)).drop("_last")
-    own = F.max("_first").over(local.rowsBetween(Window.unboundedPreceding, 0))
+    own = F.max("_first").over(local.rangeBetween(Window.unboundedPreceding, Window.currentRow))  # equal rows see each other
     return marked.join(last, [*keys, "_bin"]).withColumn("island_start", F.coalesce(own, F.col("_open"))).drop("_bin", "_first", "_open")
 
 
