@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callmark.functions import calls as C
-from callmark.operators import blocks, intervals, matching, somatic, strata
-from callmark.sources.adapter import VIEWS, calls, conf, query, read, truth
+from callmark.operators import blocks, haplotypes, intervals, matching, normalise, somatic, strata
+from callmark.sources.adapter import VIEWS, calls, conf, query, read, reference, truth
 from callmark.streaming.sessions import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -462,3 +462,50 @@ def sanity_counts(spark, sf):
 SELECT user_id, min(ts) AS start_ts, max(ts) AS last_ts, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""")
 def session_superlocus(spark, sf):
     return sessions(read(spark, sf, "events"))
+
+
+# ---- normalisation and haplotypes
+
+
+@query_of("""
+, r AS (SELECT DISTINCT chrom, pos, ref, alt, substr(ref, 1, 1) AS b FROM calls)
+SELECT chrom, ref AS ref0, alt AS alt0, pos AS pos0, CASE WHEN length(ref) = length(alt) THEN pos WHEN length(alt) > length(ref) AND b = 'G' THEN pos WHEN length(ref) > length(alt) AND b = 'T' THEN pos ELSE pos + 1 END AS pos,
+  CASE WHEN length(ref) = length(alt) THEN ref WHEN length(ref) > length(alt) THEN repeat('T', length(ref) - 1) ELSE '' END AS ref,
+  CASE WHEN length(ref) = length(alt) THEN alt WHEN length(alt) > length(ref) THEN repeat('G', length(alt) - 1) ELSE '' END AS alt FROM r""")
+def trim_alleles(spark, sf):
+    alleles = calls(spark, sf).select("chrom", "pos", "ref", "alt").distinct().withColumns({"pos0": F.col("pos"), "ref0": F.col("ref"), "alt0": F.col("alt")})
+    return normalise.trimmed(alleles).select("chrom", "pos0", "ref0", "alt0", "pos", "ref", "alt")
+
+
+@query_of(f"""
+, r AS (SELECT chrom, pos, {TYPE} AS type, coalesce(string_agg(DISTINCT alt, ',' ORDER BY alt), '') AS alts, count(DISTINCT alt) AS n FROM calls GROUP BY ALL)
+SELECT type, n AS n_alleles, count(*) AS sites, count(DISTINCT alts) AS kinds FROM r GROUP BY ALL""")
+def alleles_by_location(spark, sf):
+    sites = calls(spark, sf).groupBy("chrom", "pos", C.allele_type(F.col("ref"), F.col("alt")).alias("type")).agg(F.array_sort(F.collect_set("alt")).alias("a"))
+    return sites.groupBy("type", F.size("a").cast("long").alias("n_alleles")).agg(F.count("*").alias("sites"), F.countDistinct(F.array_join("a", ",")).alias("kinds"))
+
+
+@query_of(ONE + f"""
+, k AS (SELECT {TYPE} AS type, filt, bd_query FROM m WHERE bd_query IS NOT NULL)
+, s AS (SELECT 'a:' || type || ':ALL' AS key, bd_query FROM k UNION ALL SELECT 'a:' || type || ':PASS', bd_query FROM k WHERE filt = 'PASS' UNION ALL SELECT 'f:' || type || ':' || filt, bd_query FROM k WHERE filt <> 'PASS')
+SELECT key, count(*) FILTER (bd_query = 'TP') AS tp2, count(*) FILTER (bd_query = 'FP') AS fp FROM s GROUP BY key""")
+def roc_filter_keys(spark, sf):
+    failed = F.col("filt") != "PASS"
+    key = lambda kind, what: F.concat(F.lit(kind), "type", F.lit(":"), what)
+    keys = F.filter(F.array(key("a:", F.lit("ALL")), F.when(~failed, key("a:", F.lit("PASS"))), F.when(failed, key("f:", F.col("filt")))), lambda x: x.isNotNull())
+    rows = matched(spark, sf).where("bd_query is not null").select(F.explode(keys).alias("key"), "bd_query")
+    return rows.groupBy("key").agg(F.count(F.when(F.col("bd_query") == "TP", 1)).alias("tp2"), F.count(F.when(F.col("bd_query") == "FP", 1)).alias("fp"))
+
+
+def haplotype_outcomes(spark, sf):
+    """No SQL: haplotypes are enumerated."""
+    return haplotypes.compared(truth(spark, sf), query(spark, sf), reference(spark, sf), window=2).groupBy("outcome").agg(F.count("*").alias("blocks"), F.sum("n_truth").alias("truth_calls"), F.sum("n_query").alias("query_calls"))
+
+
+def left_shift_alleles(spark, sf):
+    """No SQL: alleles roll along the reference."""
+    alleles = query(spark, sf).where(F.length("ref") != F.length("alt")).select("chrom", "pos", "ref", "alt").distinct().withColumn("pos0", F.col("pos"))
+    return normalise.left_shifted(alleles, reference(spark, sf), flank=32).select("chrom", "pos0", "pos", "ref", "alt")
+
+
+QUERIES |= {"haplotype_outcomes": haplotype_outcomes, "left_shift_alleles": left_shift_alleles}

@@ -46,6 +46,16 @@ def conf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def reference(spark: SparkSession, sf_dir: str, chunk: int = 1 << 16) -> DataFrame:
+    """chrom, at, seq: made-up contigs as long as the positions go, in chunks."""
+    last = read(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] * 10 + 200  # one row
+    chunks = spark.range(0, last, chunk).select(F.col("id").alias("at"))
+    contigs = spark.range(1, 23).select(F.concat(F.lit("chr"), F.col("id").cast("string")).alias("chrom"), F.col("id").alias("k"))
+    base = lambda p: F.substring(F.lit("ACGT"), ((p * 7 + F.floor(p / 5) + F.col("k")) % 4 + 1).cast("int"), F.lit(1))
+    seq = F.array_join(F.transform(F.sequence(F.col("at"), F.least(F.col("at") + chunk, F.lit(last)) - 1), base), "")
+    return contigs.join(F.broadcast(chunks)).select("chrom", "at", seq.alias("seq"))  # a made-up input: 22 contigs by their chunks
+
+
 #: The same views for DuckDB.
 VIEWS = """
 WITH calls AS (
