@@ -91,23 +91,24 @@ def ranges(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     ).drop("_key")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) with next_<column> of the next row by descending doc_id; after the last comes the first.
+def with_next(docs: DataFrame, enriched=lambda df: df) -> DataFrame:
+    """enriched(docs (doc_id, text, ...)) with next_<column> of the next row by descending doc_id; after the last comes the first.
 
     The rows of a range find their next there.  The last of them needs the first row of the range below, of
     which a copy is put at the end: as many copies as ranges.
     """
-    columns = docs.columns
     ranged = ranges(docs)
     tops = sorted((r for r in ranged.groupBy("_range").agg(F.max("doc_id").alias("doc_id")).collect()), key=lambda r: r[0])  # a row per range
     if not tops:
-        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
+        whole = enriched(docs)
+        return whole.select("*", *[F.col(c).alias(f"next_{c}") for c in whole.columns])
     follows = [(tops[i - 1]["doc_id"], tops[i]["_range"]) for i in range(len(tops))]  # the first row below; of the lowest range the topmost
     spark = docs.sparkSession
     heads = ranged.drop("_range").join(F.broadcast(spark.createDataFrame(follows, "_id long, _range int")), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
     first = Window.partitionBy("_range").orderBy("text")
     heads = heads.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").withColumn("_copy", F.lit(1))
-    both = ranged.withColumn("_copy", F.lit(0)).unionByName(heads)
+    both = enriched(ranged.withColumn("_copy", F.lit(0)).unionByName(heads))
+    columns = [c for c in both.columns if c not in ("_range", "_copy")]
     order = Window.partitionBy("_range").orderBy("_copy", F.desc_nulls_last("doc_id"), "text")
     out = both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
     return out.where("_copy = 0").drop("_copy", "_range")
@@ -115,7 +116,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    paired = with_next(with_signature(docs, "text", "signature"))
+    paired = with_next(docs, lambda df: with_signature(df, "text", "signature"))
     n = F.length("text")
     q = F.floor(n / 3).cast("int")
     paired = paired.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.left("text", n - q), F.left("next_text", q)))
