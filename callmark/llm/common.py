@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -16,11 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("callmark.shared.dir", None)
     if not place:
         place = "file://" + tempfile.mkdtemp(prefix="callmark-")
-        spark.conf.set("callmark.shared.dir", spark.conf.get("callmark.shared.dir", place))
-        place = spark.conf.get("callmark.shared.dir")
+        spark.conf.set("callmark.shared.dir", place)
     return place
 
 
@@ -33,6 +33,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    # Spark drops the shuffle files of a finished query once the driver has collected its plan, which a driver
+    # with much memory may do very late; what a long job has already written would stay on disk till then
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
