@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from callmark.llm.common import materialise, table
 
 BITS, TOP = 64, 10
-#: Bits of a segment: about the logarithm of the number of codes, within these bounds.
-LEAST_BITS, MOST_BITS = 8, 16
+#: Bits of a segment, within bounds: so many that a value has about PER_VALUE codes, as a look-up costs as much as a few hits.
+LEAST_BITS, MOST_BITS, PER_VALUE = 8, 16, 4
 
 
 def sign_codes(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -48,7 +48,7 @@ def code_index(codes: DataFrame, k: int) -> DataFrame:
 def nearest_codes(asked: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """asked: q (distinct codes); index as code_index() gives.  q, code, distance: the k nearest codes of each q."""
     entries = index.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, round(math.log2(max(2, entries)))))
+    bits = min(MOST_BITS, max(LEAST_BITS, round(math.log2(max(2, entries / PER_VALUE)))))
     starts = list(range(0, BITS, bits))
     sizes = [min(bits, BITS - s) for s in starts]
     segments = len(starts)
@@ -61,7 +61,8 @@ def nearest_codes(asked: DataFrame, index: DataFrame, k: int) -> DataFrame:
     for step in range(bits + 1):
         masks = [sum(1 << b for b in on) for on in itertools.combinations(range(bits), step)]
         flips = F.expr(f"cast(split('{' '.join(map(str, masks))}', ' ') as array<bigint>)")
-        probes = pending.select("q", F.inline(parts(F.col("q")))).select("q", "seg", F.col("value").alias("own"), F.explode(flips).alias("mask"))
+        spread = pending.repartition(int(pending.sparkSession.conf.get("spark.sql.shuffle.partitions")), "q")  # look-ups are many more than queries
+        probes = spread.select("q", F.inline(parts(F.col("q")))).select("q", "seg", F.col("value").alias("own"), F.explode(flips).alias("mask"))
         probes = probes.where(F.expr(f"mask < shiftleft(1L, element_at(array({', '.join(map(str, sizes))}), seg + 1))")).select("q", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
         hits = probes.join(lookup, ["seg", "value"]).select("q", "code", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"), "n", "least").distinct()
         if best is not None:
