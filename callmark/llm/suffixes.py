@@ -1,16 +1,15 @@
 """Operator 2: suffix-array deduplication with a sparse suffix array.
 
 Of the suffixes of a document (one per word) only those are kept whose first K words have the least hash of
-some window of WINDOW neighbouring suffixes.  Any passage of K + WINDOW - 1 = 50 words that stands in two
-documents so has a suffix that both keep.  Kept suffixes that share their first K words with one of another
-document are sorted, by what follows and by what precedes, and neighbours are compared; matches are extended
-to the right and to the left.  No kept suffix lies further than WINDOW words from the border of a repeated
-passage, so that WINDOW words of context on each side are all that a comparison needs.
-
-Matches of a document are joined; those of at least `least` words are repeats.  The occurrence in the least
-doc_id is the first one.  White space parts words and is otherwise ignored; letters count as they are.
-Nulls, empty texts and rows without a doc_id have no repeats; passages that repeat only within one document
-are none; rows with the same doc_id count as one document.
+some window of WINDOW neighbouring suffixes.  Each passage of K + WINDOW - 1 = 50 words has one such suffix,
+which its words alone decide, and the passages of one suffix follow each other: they make a span.  Spans whose
+suffix shares its first K words with one of another document are compared: equal spans are counted as one,
+different ones of the same K words passage by passage.  Nothing depends on how often a key stands in the table.
+
+Passages that stand in two documents are repeats, joined where they overlap or touch.  The occurrence in the
+least doc_id is the first one, decided for each passage of 50 words.  White space parts words and is otherwise
+ignored; letters count as they are.  Nulls, empty texts and rows without a doc_id have no repeats; passages
+that repeat only within one document are none; rows with the same doc_id count as one document.
 """
 
 from __future__ import annotations
@@ -20,17 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callmark.llm.common import materialise, table
 from callmark.llm.ngram_join import mixed, word_hashes
 
 K, WINDOW, LEAST = 24, 27, 50
-#: Suffixes with the same K words are compared in blocks of about this many; only extensions, not matches, depend on it.
-BLOCK = 4096
 #: A key with more than one in so many rows is dealt over several tasks.
 FREQUENT = 2000
+RUNS = "array<struct<lo:int,hi:int,least:bigint>>"
 
 
 def hashed_words(text: str | None) -> np.ndarray:
@@ -61,124 +59,122 @@ def selected(keys: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(np.lib.stride_tricks.sliding_window_view(keys, window).argmin(axis=1) + np.arange(len(keys) - window + 1))
 
 
-def shared_ahead(rows: np.ndarray, same: np.ndarray) -> np.ndarray:
-    """For each row the most leading entries it has in common with the row before or after it, where `same` says that they belong together."""
-    alike = np.cumprod(rows[1:] == rows[:-1], axis=1).sum(axis=1) * same
-    out = np.zeros(len(rows), dtype=np.int64)
-    out[1:] = alike
-    out[:-1] = np.maximum(out[:-1], alike)
-    return out
-
-
-def extended(batch: pd.DataFrame) -> pd.DataFrame:
-    """Whole groups of suffixes, sorted by group and by what follows: their matches."""
-    width = WINDOW * 4
-    batch = batch.drop_duplicates(["key", "block", "doc_id", "at"])  # of repeated rows
-    right = np.frombuffer(b"".join(batch["after"]), dtype=np.uint32).reshape(len(batch), WINDOW)
-    left = np.frombuffer(b"".join(batch["before"]), dtype=np.uint32).reshape(len(batch), WINDOW)
-    group = (batch["key"].to_numpy()[1:] != batch["key"].to_numpy()[:-1]) | (batch["block"].to_numpy()[1:] != batch["block"].to_numpy()[:-1])
-    number = np.concatenate([[0], np.cumsum(group)])
-    to_right = shared_ahead(right, ~group)
-    by_left = np.lexsort((left.view(f"S{width}").ravel(), number))
-    to_left = np.zeros(len(batch), dtype=np.int64)
-    to_left[by_left] = shared_ahead(left[by_left], number[by_left][1:] == number[by_left][:-1])
-    at = batch["at"].to_numpy()
-    # 0 stands for no word, beyond the text; it is never part of a match
-    to_right = np.minimum(to_right, (np.cumprod(right != 0, axis=1)).sum(axis=1))
-    to_left = np.minimum(to_left, (np.cumprod(left != 0, axis=1)).sum(axis=1))
-    return pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "first": batch["first"].to_numpy(), "start": at - to_left, "stop": at + K + to_right})
-
-
-def joined_by_key(suffixes: DataFrame, groups: DataFrame) -> DataFrame:
-    """suffixes joined with groups (one row per key); the rows of very frequent keys are dealt over many tasks.
+def owned(keys: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the least key (the leftmost of equal ones) of some window; the first window of each, and how many there are."""
+    if len(keys) < window:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
+    least = np.lib.stride_tricks.sliding_window_view(keys, window).argmin(axis=1) + np.arange(len(keys) - window + 1)
+    return np.unique(least, return_index=True, return_counts=True)
+
+
+def span_hashes(passages: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Hashes of the words of spans: their first and last passages overlap and so hold all of them."""
+    ends = mixed(passages[lo] * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64)) + passages[lo + n - 1]
+    return mixed(ends).view(np.int64)
+
+
+def joined_by(left: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
+    """left joined with groups (one row per key of columns `on`, and n, how many rows of left have it); the rows of very frequent keys are dealt over many tasks.
 
     A key is very frequent if it has more than one in FREQUENT of all rows, so that there are fewer than FREQUENT.
     """
     total = groups.agg(F.sum("n")).first()[0] or 0
     share = max(1, total // FREQUENT)
-    often = groups.where(F.col("n") > share).select("key", F.ceil(F.col("n") / share).cast("int").alias("_parts"))
-    part = F.coalesce(F.pmod(F.xxhash64("doc_id", "at"), F.col("_parts")), F.lit(0).cast("long"))
-    left = suffixes.join(F.broadcast(often), "key", "left").withColumn("_part", part).drop("_parts")
+    often = groups.where(F.col("n") > share).select(*on, F.ceil(F.col("n") / share).cast("int").alias("_parts"))
+    part = F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_parts")), F.lit(0).cast("long"))
+    dealt = left.join(F.broadcast(often), on, "left").withColumn("_part", part).drop("_parts")
     spread = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_parts") - 1, F.lit(0)).cast("long")))
-    right = groups.join(F.broadcast(often), "key", "left").withColumn("_part", spread).drop("_parts")
-    return left.join(right, ["key", "_part"]).drop("_part")
+    right = groups.join(F.broadcast(often), on, "left").withColumn("_part", spread).drop("_parts")
+    return dealt.join(right.drop("n"), [*on, "_part"]).drop("_part")
+
+
+def runs_of(found: Column) -> Column:
+    """Runs (lo, hi exclusive, least) of an array of (i, least) in order."""
+
+    def step(runs: Column, p: Column) -> Column:
+        last = F.try_element_at(runs, F.lit(-1))
+        longer = F.struct(last["lo"].alias("lo"), (p["i"] + 1).alias("hi"), last["least"].alias("least"))
+        new = F.struct(p["i"].alias("lo"), (p["i"] + 1).alias("hi"), p["least"].alias("least"))
+        goes_on = (F.size(runs) > 0) & (last["hi"] == p["i"]) & (last["least"] == p["least"])
+        return F.when(goes_on, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))).otherwise(F.concat(runs, F.array(new)))
+
+    return F.aggregate(found, F.array().cast(RUNS), step)
 
 
 def repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, first (boolean: the occurrence in the least doc_id), start and stop (words, stop exclusive) of every repeat."""
+    """doc_id, first (boolean: the occurrence in the least doc_id), start and stop (words, stop exclusive) of every repeat.
+
+    Passages of a document that are first ones and those that are not are joined apart, and may overlap.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids, keys, places = [], [], []
+            out: dict[str, list] = {c: [] for c in ("doc_id", "key", "lo", "passages", "span")}
             for doc, text in zip(b["doc_id"], b["text"]):
-                key = first_words(hashed_words(text))
-                at = selected(key)
-                ids.append(np.full(len(at), doc, np.int64))
-                keys.append(key[at].view(np.int64))
-                places.append(at)
-            if ids:
-                yield pd.DataFrame({"doc_id": np.concatenate(ids), "key": np.concatenate(keys), "at": np.concatenate(places).astype(np.int32)})
-
-    suffixes = rows.mapInPandas(keep, "doc_id long, key long, at int")
-    groups = suffixes.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most")
-    groups = materialise(groups.select("key", "n", "least"), "shared-suffixes")
-    met = joined_by_key(suffixes, groups)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.when(F.col("n") > 2 * BLOCK, F.pmod(F.xxhash64("doc_id"), blocks)).otherwise(F.lit(0)).cast("int")
-    found = F.struct("at", "key", block.alias("block"), (F.col("doc_id") == F.col("least")).alias("first"))
-    of_doc = met.groupBy("doc_id").agg(F.collect_list(found).alias("found"))  # no more than a document has words
-
-    def context(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                h = hashed_words(text)
+                key = first_words(h)
+                at, lo, n = owned(key, least - K + 1)
+                out["doc_id"].append(np.full(len(at), doc, np.int64))
+                out["key"].append(key[at].view(np.int64))
+                out["lo"].append(lo.astype(np.int32))
+                out["passages"].append(n.astype(np.int32))
+                out["span"].append(span_hashes(first_words(h, least), lo, n))
+            if out["doc_id"]:
+                yield pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
+
+    suffixes = rows.mapInPandas(keep, "doc_id long, key long, lo int, passages int, span long")
+    groups = suffixes.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most"), (F.min("span") != F.max("span")).alias("several"))
+    groups = materialise(groups.where("_least <> _most").select("key", "n", "several"), "shared-suffixes")
+    met = materialise(joined_by(suffixes, groups, ["key"]), "met-suffixes")
+    one = F.min(F.struct("doc_id", "lo", "passages")).alias("one")
+    spans = met.groupBy("key", "span").agg(F.count("*").alias("n"), one, F.max("doc_id").alias("most"), F.first("several").alias("several"))
+    spans = materialise(spans.select("key", "span", "n", "one.*", "most", "several"), "spans")
+
+    # spans of a key that differ are compared by their passages, taken from the document that stands for the span
+    of_doc = spans.where("several").groupBy("doc_id").agg(F.collect_list(F.struct("key", "span", "n", "lo", "passages", "most")).alias("found"))  # no more than a document has words
+
+    def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for lo in range(0, len(b), 200):
-                out: dict[str, list] = {c: [] for c in ("doc_id", "at", "key", "block", "first", "after", "before")}
-                for doc, text, found in zip(b["doc_id"].iloc[lo : lo + 200], b["text"].iloc[lo : lo + 200], b["found"].iloc[lo : lo + 200]):
-                    h = (hashed_words(text) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-                    edge = np.zeros(WINDOW, np.uint32)
-                    h = np.concatenate([edge, h, np.zeros(WINDOW + K, np.uint32)])
-                    for f in {(f["at"], f["key"]): f for f in found}.values():
-                        at = f["at"]
-                        if at + K + 2 * WINDOW > len(h) - K:  # a repeated row with another text
+            for at in range(0, len(b), 200):
+                out: dict[str, list] = {c: [] for c in ("key", "span", "n", "doc_id", "most", "ahead")}
+                for doc, text, found in zip(b["doc_id"].iloc[at : at + 200], b["text"].iloc[at : at + 200], b["found"].iloc[at : at + 200]):
+                    ahead = first_words(hashed_words(text), least)
+                    found = [f for f in found if f["lo"] + f["passages"] <= len(ahead)]
+                    spans = span_hashes(ahead, np.array([f["lo"] for f in found], int), np.array([f["passages"] for f in found], int))
+                    for f, span in zip(found, spans):
+                        if span != f["span"]:  # a repeated row with another text
                             continue
                         out["doc_id"].append(doc)
-                        for c in ("at", "key", "block", "first"):
+                        for c in ("key", "span", "n", "most"):
                             out[c].append(f[c])
-                        out["after"].append(h[WINDOW + at + K : 2 * WINDOW + at + K].tobytes())
-                        out["before"].append(h[at : at + WINDOW][::-1].tobytes())
-                if out["at"]:
+                        out["ahead"].append(ahead[f["lo"] : f["lo"] + f["passages"]].view(np.int64))
+                if out["key"]:
                     yield pd.DataFrame(out)
 
-    one_text = rows.join(of_doc, "doc_id")
-    schema = "doc_id long, at int, key long, block int, first boolean, after binary, before binary"
-    ordered = one_text.mapInPandas(context, schema).repartition("key", "block").sortWithinPartitions("key", "block", "after", "doc_id", "at")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for b in batches:
-            b = b if held is None else pd.concat([held, b], ignore_index=True)
-            if not len(b):
-                continue
-            last = ((b["key"] == b["key"].iloc[-1]) & (b["block"] == b["block"].iloc[-1])).to_numpy()
-            cut = len(b) - int(last.sum())
-            held = b.iloc[cut:]
-            if cut:
-                yield extended(b.iloc[:cut])
-        if held is not None and len(held):
-            yield extended(held)
-
-    matches = ordered.mapInPandas(compare, "doc_id long, first boolean, start int, stop int")
+    compared = rows.join(of_doc, "doc_id").mapInPandas(passages, "key long, span long, n long, doc_id long, most long, ahead array<long>")
+    compared = materialise(compared, "compared-spans")
+    each = compared.select("key", "span", F.col("n").alias("rows"), "doc_id", "most", F.posexplode("ahead").alias("i", "ahead"))
+    shared = each.groupBy("key", "ahead").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("most").alias("_most"))
+    shared = materialise(shared.where("least <> _most").drop("_most"), "shared-passages")
+    found = joined_by(each.select("key", "ahead", "span", "rows", "i"), shared, ["key", "ahead"])
+    found = found.groupBy("key", "span").agg(F.max("rows").alias("n"), F.array_sort(F.collect_set(F.struct("i", "least"))).alias("_found"))
+    alone = F.array(F.struct(F.lit(0).alias("lo"), F.col("passages").alias("hi"), F.col("doc_id").alias("least")))
+    told = spans.where("not several").select("key", "span", "n", alone.cast(RUNS).alias("runs")).unionByName(found.select("key", "span", "n", runs_of(F.col("_found")).alias("runs")))
+    told = joined_by(met.select("key", "span", "doc_id", "lo"), materialise(told, "told-spans"), ["key", "span"])
+    matches = told.select("doc_id", "lo", F.explode("runs").alias("run"))
+    matches = matches.select("doc_id", (F.col("doc_id") == F.col("run.least")).alias("first"), (F.col("lo") + F.col("run.lo")).alias("start"), (F.col("lo") + F.col("run.hi") - 1 + least).alias("stop"))
     # matches of a document that overlap or touch become one
     before = Window.partitionBy("doc_id", "first").orderBy("start", "stop")
     reach = F.max("stop").over(before.rowsBetween(Window.unboundedPreceding, -1))
     opened = matches.distinct().withColumn("_new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
     island = opened.withColumn("_island", F.sum("_new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
     joined = island.groupBy("doc_id", "first", "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    return joined.where(F.col("stop") - F.col("start") >= least).select("doc_id", "first", "start", "stop")
+    return joined.select("doc_id", "first", "start", "stop")
 
 
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs without the words of later occurrences; other columns as they are.  found: as repeats() gives."""
+    """docs without the words of later occurrences, also where a first one overlaps them; other columns as they are.  found: as repeats() gives."""
     cuts = found.where("not first").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("_cuts"))
     joined = docs.join(cuts, "doc_id", "left")
     columns = docs.columns

@@ -74,6 +74,23 @@ def test_odd_and_empty(spark, odd, empty):
     assert op2_sparse_suffixes(spark, empty).collect() == []
 
 
+def test_frequent_keys_lose_no_repeats(spark, monkeypatch):
+    """Twelve documents share 24 words that are the one kept suffix; pairs of them share 50."""
+    from callmark.llm import suffixes
+
+    monkeypatch.setattr(suffixes, "BLOCK", 3, raising=False)
+    rng = random.Random(3)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    around = [prose(26) for _ in range(60)]
+    while True:  # the key in the middle is the least of every passage
+        hot = prose(24)
+        if all(list(selected(first_words(hashed_words(" ".join(a[:13] + hot + a[13:]))))) == [13] for a in around):
+            break
+    docs = [(i, " ".join(prose(3) + around[i // 2][:13] + hot + around[i // 2][13:] + prose(3))) for i in range(120)]
+    rows = repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r["doc_id"], r["first"], r["start"], r["stop"]) for r in rows) == [(i, i % 2 == 0, 3, 53) for i in range(120)]
+
+
 def test_selection_is_by_content():
     rng = np.random.default_rng(0)
     words = [str(x) for x in rng.integers(0, 10**6, 500)]
