@@ -91,6 +91,37 @@ def test_frequent_keys_lose_no_repeats(spark, monkeypatch):
     assert sorted((r["doc_id"], r["first"], r["start"], r["stop"]) for r in rows) == [(i, i % 2 == 0, 3, 53) for i in range(120)]
 
 
+def first_ones(docs, least=50):
+    """(doc_id, first) and the words of passages that are in two documents."""
+    least_of, out = {}, {}
+    passages = [(tuple(w[k : k + least]), i, k) for i, t in docs for w in [t.split()] for k in range(len(w) - least + 1)]
+    for p, i, _ in passages:
+        least_of.setdefault(p, set()).add(i)
+    for p, i, k in passages:
+        if len(least_of[p]) > 1:
+            out.setdefault((i, i == min(least_of[p])), set()).update(range(k, k + least))
+    return out
+
+
+def test_the_first_one_is_decided_by_passage(spark):
+    rng = random.Random(5)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    left, key, right, long = prose(27), prose(24), prose(27), prose(100)
+    texts = [prose(9) + key + prose(9), left + key + right, prose(4) + left + key + right, long[20:80], long, prose(2) + long + prose(2)]
+    # no 50 words with any one other document: a key with left words of one and right words of another
+    texts += [left[10:] + key + prose(5) + right[:5], prose(5) + key + right[:20], long[:30] + long[:30] + long[60:]]
+    docs = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {}
+    found = repeats(frame).collect()
+    for r in found:
+        got.setdefault((r["doc_id"], r["first"]), set()).update(range(r["start"], r["stop"]))
+    assert got == first_ones(docs)
+    kept = {r["doc_id"]: r["text"].split() for r in without_repeats(frame, repeats(frame)).collect()}
+    assert kept[1] == texts[1] and kept[2] == texts[2][:4]
+    assert kept[4] == long[:20] + long[80:] and {w for t in kept.values() for w in t} == {w for t in texts for w in t}
+
+
 def test_selection_is_by_content():
     rng = np.random.default_rng(0)
     words = [str(x) for x in rng.integers(0, 10**6, 500)]
