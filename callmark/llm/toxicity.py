@@ -1,9 +1,10 @@
 """Operator 4: toxicity after noisy-channel deobfuscation.
 
 A character trigram model is counted over all texts.  Words that look disguised (digits or signs among
-letters, separators between letters, a letter three or more times, letters spaced out) become lattices: each
+letters, separators between letters, a letter three or more times, words in short pieces) become lattices: each
 character may stand for itself, for the letters it is a substitute of, or for nothing (a separator, a
-repetition); each choice has a channel cost, and Viterbi decoding finds the cheapest reading under the model.
+repetition); a blank between short pieces may be a border of words or nothing;
+each choice has a channel cost, and Viterbi decoding finds the cheapest reading under the model.
 The restored words are scored by log-odds of words and word beginnings, learned from labelled rows, and a
 logistic curve over their sum makes the score.
 
@@ -37,6 +38,8 @@ TRAIN_ROWS, FEATURES = 200_000, 20_000
 #: Word beginnings of these lengths are features; log-odds count from LEAST on.
 BEGINNINGS, LEAST = range(3, 10), 2.0
 THRESHOLD = 0.7
+#: Neighbouring pieces of at most PIECE characters may be parts of one word; a disguised word above LONG may be several.
+PIECE, LONG = 3, 40
 #: Rows where this is 1 are held out.
 FOLD_SQL = "crc32(cast(doc_id as string)) % 3"
 
@@ -85,6 +88,7 @@ class Restorer:
         self.cost = model
         self.codes = {c: i + 1 for i, c in enumerate(LETTERS)}
         self.known: dict[str, str] = {}
+        self.known_runs: dict[str, list[str]] = {}
 
     def odd(self, word: str) -> bool:
         """Whether a word looks disguised: a sign or separator among letters, or a letter three times."""
@@ -92,7 +96,7 @@ class Restorer:
         if core.isalpha():
             return any(a == b == c for a, b, c in zip(core, core[1:], core[2:]))
         letters = sum(c in self.codes for c in core)
-        return letters >= 2 and len(core) <= 40 and all(c in self.codes or c in SUBSTITUTES or c in SEPARATORS for c in word)
+        return letters >= 2 and all(c in self.codes or c in SUBSTITUTES or c in SEPARATORS for c in word)
 
     def decode(self, seen: str) -> str:
         """Viterbi over the lattice; a state is the last two letters that were read."""
@@ -121,6 +125,68 @@ class Restorer:
             best = after
         return min((so_far + float(cost[a, b, 0]), text) for (a, b), (so_far, text) in best.items())[1]
 
+    def decode_run(self, seen: str) -> list[str]:
+        """The words of a text in pieces: as decode, but each blank or separator is dropped or a border of words.  Time and memory are linear."""
+        cost, codes = self.cost, self.codes
+        signs, gaps = [], []  # characters, and how many blanks and separators stand before each
+        between = 0
+        for c in seen:
+            if c.isspace() or c in SEPARATORS:
+                between += 1
+            else:
+                signs.append(c)
+                gaps.append(between)
+                between = 0
+        runs = [1] * len(signs)
+        for k in range(1, len(signs)):
+            runs[k] = runs[k - 1] + 1 if signs[k] == signs[k - 1] else 1
+        for k in range(len(signs) - 2, -1, -1):
+            runs[k] = runs[k + 1] if signs[k] == signs[k + 1] else runs[k]
+        # a state is the last two letters that were read, 0 for a border; a reading is a chain of letters from its end
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for k, c in enumerate(signs):
+            if gaps[k]:
+                apart: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+                for (a, b), (so_far, read) in best.items():
+                    if so_far + SKIP < apart.get((a, b), (math.inf,))[0]:
+                        apart[a, b] = (so_far + SKIP, read)
+                    if b:
+                        total = so_far + float(cost[a, b, 0])
+                        if total < apart.get((b, 0), (math.inf,))[0]:
+                            apart[b, 0] = (total, (read, " "))
+                best = apart
+            own = [(c, 0.0)] if c in codes else [(x, SWAP) for x in SUBSTITUTES.get(c, "")]
+            run = k > 0 and signs[k - 1] == c
+            drop = (REPEAT if runs[k] > 2 else DOUBLE) if run else FOREIGN
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (so_far, read) in best.items():
+                for x, price in own:
+                    i = codes[x]
+                    total = so_far + price + float(cost[a, b, i])
+                    if total < after.get((b, i), (math.inf,))[0]:
+                        after[b, i] = (total, (read, x))
+                if c not in codes or run:
+                    if so_far + drop < after.get((a, b), (math.inf,))[0]:
+                        after[a, b] = (so_far + drop, read)
+            best = after
+        read = min(((so_far + (float(cost[a, b, 0]) if b else 0.0), n, read) for n, ((a, b), (so_far, read)) in enumerate(best.items())))[2]
+        out = []
+        while read is not None:
+            read, x = read
+            out.append(x)
+        return "".join(reversed(out)).split()
+
+    def run(self, seen: str) -> list[str]:
+        """decode_run, remembered for short ones."""
+        out = self.known_runs.get(seen)
+        if out is None:
+            out = self.decode_run(seen)
+            if len(seen) <= 40:  # longer ones hardly come back
+                if len(self.known_runs) > 500_000:
+                    self.known_runs.clear()
+                self.known_runs[seen] = out
+        return out
+
     def word(self, seen: str) -> str:
         """seen: lower case.  The word's letters, restored if it looks disguised."""
         out = self.known.get(seen)
@@ -136,17 +202,22 @@ class Restorer:
 def spaced():
     import re
 
-    return re.compile(r"(?<!\S)(?:\S ){3,}\S(?=[\s.,;:!?]|$)")
+    # pieces of up to PIECE characters, with blanks of any kind between; the last may have punctuation
+    return re.compile(r"(?<!\S)\S{1,%d}(?:\s+\S{1,%d})+(?=[\s.,;:!?]|$)" % (PIECE, PIECE))
 
 
 def restored_words(text: str | None, restorer: Restorer) -> set[str]:
     """The distinct words of a whole text, disguised ones restored."""
     low = (text or "").lower()
-    words = {restorer.word(w) for w in set(low.split())}
+    words: set[str] = set()
+    for w in set(low.split()):
+        if len(w) > LONG and restorer.odd(w):
+            words.update(restorer.run(w))  # several words with separators between
+        else:
+            words.add(restorer.word(w))
     for m in spaced().finditer(low):
-        run = m.group().replace(" ", "")
-        # a long run of single letters is not one word: windows of it would be words by chance
-        words.add(restorer.word(run) if not run.isalpha() else restorer.decode(run) if len(run) <= 40 else "")
+        if sum([c in restorer.codes for c in m.group()]) >= 2:
+            words.update(restorer.run(m.group()))
     words.discard("")
     return words
 

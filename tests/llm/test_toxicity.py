@@ -32,6 +32,22 @@ def test_disguises(spark):
     assert restored_words(None, restorer) == set()
 
 
+def test_long_and_broken_runs():
+    text = "the idiot and the stupid moron is a loser with pathetic trash and a worthless clown "
+    codes = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
+    c = np.array([0, *[codes.get(x, 0) for x in text * 50]])
+    counts = np.bincount((c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], minlength=SIZE**3).astype(float)
+    restorer = Restorer(character_model(counts))
+    letters = " ".join("theidiotandthestupidmoronisaloserwithpathetictrash")
+    assert len(letters.replace(" ", "")) > 40
+    assert {"idiot", "stupid", "moron", "loser", "pathetic", "trash"} <= restored_words(letters, restorer)
+    assert "idiot" in restored_words("a i d i o t", restorer)
+    assert "idiot" in restored_words("the id iot", restorer)
+    assert "idiot" in restored_words("i\td\ti\to\tt", restorer)
+    assert {"idiot", "stupid", "moron"} <= restored_words("1d10t-and-the-$tup1d-m0r0n-is-a-l0ser-with-trash", restorer)
+    assert all(len(w) < 4 for w in restored_words("a " * 20_000, restorer))
+
+
 def test_viterbi_finds_the_cheapest_reading():
     """Against all readings of short lattices."""
     from itertools import product
