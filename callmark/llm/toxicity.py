@@ -8,7 +8,7 @@ each choice has a channel cost, and Viterbi decoding finds the cheapest reading
 The restored words are scored by log-odds of words and word beginnings, learned from labelled rows, and a
 logistic curve over their sum makes the score.
 
-Learning uses at most TRAIN_ROWS labelled rows (by a hash of doc_id) and keeps at most FEATURES features; the
+Learning uses at most TRAIN_ROWS labelled rows (by a hash of doc_id) and keeps every feature that counts; the
 character model covers all rows.  Nulls count as empty texts, which get a score like any text without a
 toxic word.  Labels of a doc_id that has several are their maximum; rows without a doc_id are never held out.
 """
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callmark.llm.common import table
+from callmark.llm.common import materialise, table
 
 #: The letters of the character model; everything else is a border of words.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿß"
@@ -34,7 +34,9 @@ SUBSTITUTES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 SEPARATORS = set("-._*~/\\,'\"`:;^#")
 #: Costs in nats: a substitute, a dropped separator, a dropped repetition in a run of three or of two, a sign that is no letter.
 SWAP, SKIP, REPEAT, DOUBLE, FOREIGN = 0.5, 0.3, 0.2, 4.0, 9.0
-TRAIN_ROWS, FEATURES = 200_000, 20_000
+TRAIN_ROWS = 200_000
+#: A feature counts if so many toxic rows have it, whatever the size of the table.
+LEAST_ROWS = 3
 #: Word beginnings of these lengths are features; log-odds count from LEAST on.
 BEGINNINGS, LEAST = range(3, 10), 2.0
 THRESHOLD = 0.7
@@ -254,42 +256,28 @@ def learn(rows: DataFrame, labels: DataFrame, model: bytes) -> tuple[dict[str, f
     """rows: doc_id, text; labels: doc_id, toxic, a bounded number.  Weights of features and of the logistic curve."""
     known = rows.join(F.broadcast(labels), "doc_id")
 
-    def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer, n, docs = _restorer(model, SIZE), {}, 0
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        restorer, n = _restorer(model, SIZE), ({}, {})
+        told = lambda k: pd.DataFrame({"feature": pd.Series(list(n[k]), dtype=object), "toxic": k, "n": list(n[k].values())})
         for b in batches:
-            docs += len(b)
-            for t in b["text"]:
+            for t, toxic in zip(b["text"], b["toxic"]):
+                own = n[1 if toxic == 1 else 0]
+                own[""] = own.get("", 0) + 1  # documents
                 for f in {f for w in restored_words(t, restorer) for f in features(w)}:
-                    n[f] = n.get(f, 0) + 1
-        yield pd.DataFrame({"feature": ["", *n], "n": [docs, *n.values()]})
-
-    found = known.where("toxic = 1").select("text").mapInPandas(distinct, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    toxic = {r["feature"]: r["n"] for r in found.orderBy(F.desc("n"), "feature").limit(FEATURES + 1).collect()}
-    n_toxic = toxic.pop("", 0)
-    least = max(3, n_toxic // 200)
-    toxic = {f: n for f, n in toxic.items() if n >= least}
-
-    def clean_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer, n, docs, own = _restorer(model, SIZE), dict.fromkeys(toxic, 0), 0, {}
-        for b in batches:
-            docs += len(b)
-            for t in b["text"]:
-                hit: set[str] = set()
-                for w in restored_words(t, restorer):
-                    if w not in own:
-                        if len(own) > 500_000:
-                            own.clear()
-                        own[w] = [f for f in features(w) if f in toxic]
-                    hit.update(own[w])
-                for f in hit:
-                    n[f] += 1
-        yield pd.DataFrame({"feature": ["", *n], "n": [docs, *n.values()]})
-
-    counted = known.where("toxic = 0").select("text").mapInPandas(clean_counts, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    clean = {r["feature"]: r["n"] for r in counted.collect()}  # at most FEATURES rows
-    n_clean = clean.pop("", 0) or 0
-    odds = lambda f: math.log((toxic[f] + 0.5) / (n_toxic + 1)) - math.log((clean.get(f, 0) + 0.5) / (n_clean + 1))
-    weights = {f: w for f in toxic if (w := odds(f)) >= LEAST}
+                    own[f] = own.get(f, 0) + 1
+            for k in (0, 1):
+                if len(n[k]) > 500_000:
+                    yield told(k)
+                    n[k].clear()
+        yield from (told(k) for k in (0, 1) if n[k])
+
+    counted = known.select("text", "toxic").mapInPandas(counts, "feature string, toxic int, n long").groupBy("feature")
+    counted = counted.agg(F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("n"))), F.lit(0)).alias("toxic"), F.coalesce(F.sum(F.when(F.col("toxic") == 0, F.col("n"))), F.lit(0)).alias("clean"))
+    counted = materialise(counted.where((F.col("feature") == "") | (F.col("toxic") >= LEAST_ROWS)), "features")
+    all_rows = counted.where("feature = ''").select("toxic", "clean").first() or (0, 0)
+    share = lambda c, n: F.log((F.col(c) + 0.5) / (n + 1))
+    odds = counted.where("feature <> ''").select("feature", (share("toxic", all_rows[0]) - share("clean", all_rows[1])).alias("odds"))
+    weights = {r["feature"]: r["odds"] for r in odds.where(F.col("odds") >= LEAST).collect()}  # features of at most TRAIN_ROWS rows
 
     def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restorer, scores = _restorer(model, SIZE), WordScores(weights)

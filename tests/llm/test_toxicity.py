@@ -48,6 +48,21 @@ def test_long_and_broken_runs():
     assert all(len(w) < 4 for w in restored_words("a " * 20_000, restorer))
 
 
+def test_features_count_alike_at_every_size(spark, monkeypatch):
+    """A word of three toxic rows has a weight among 900 of them, and however many ordinary words are more frequent."""
+    from callmark.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "FEATURES", 50, raising=False)
+    ordinary = " ".join(a + b + "zz" for a in "bcdfgh" for b in "aeiou")
+    rows = [(i, ordinary + (" moron" if i < 3 else " idiot" if i < 900 else ""), int(i < 900)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    model = character_model(character_counts(docs)).astype(np.float16).tobytes()
+    weights, _ = toxicity.learn(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), model)
+    odds = lambda n: np.log((n + 0.5) / 901) - np.log(0.5 / 1101)
+    want = {**dict.fromkeys(toxicity.features("moron"), odds(3)), **dict.fromkeys(toxicity.features("idiot"), odds(897))}
+    assert set(weights) == set(want) and all(abs(weights[f] - want[f]) < 1e-9 for f in want)
+
+
 def test_viterbi_finds_the_cheapest_reading():
     """Against all readings of short lattices."""
     from itertools import product
