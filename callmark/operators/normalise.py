@@ -66,6 +66,20 @@ def left_shifted(alleles: DataFrame, reference: DataFrame, flank: int = FLANK, n
     return _shift(near, "_bases", True, None if not_before is None else F.col("pos") - F.col(not_before))
 
 
+def fully_left_shifted(alleles: DataFrame, reference: DataFrame, flank: int = FLANK) -> DataFrame:
+    """Trimmed alleles moved as far left as the reference allows: those that used up their flank go on with one four times as long."""
+    columns, done = alleles.columns, None
+    going = trimmed(alleles)
+    while True:
+        moved = left_shifted(going.withColumn("_start", F.col("pos")), reference, flank).select(*columns, "_start").localCheckpoint()
+        ended = moved.where(F.col("_start") - F.col("pos") < flank).select(*columns)
+        done = ended if done is None else done.unionByName(ended)
+        going = moved.where(F.col("_start") - F.col("pos") >= flank).select(*columns)
+        if going.isEmpty():
+            return done
+        flank *= 4
+
+
 def right_shifted(alleles: DataFrame, reference: DataFrame, flank: int = FLANK) -> DataFrame:
     sites = trimmed(alleles).withColumn("_from", F.col("pos") - 1 + F.length("ref")).withColumn("_to", F.col("_from") + flank - 1)
     return _shift(fetched(sites, reference, "_from", "_to", "_bases").drop("_from", "_to"), "_bases", False, None)

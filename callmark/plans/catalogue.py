@@ -499,13 +499,13 @@ def roc_filter_keys(spark, sf):
 
 def haplotype_outcomes(spark, sf):
     """No SQL: haplotypes are enumerated."""
-    return haplotypes.compared(truth(spark, sf), query(spark, sf), reference(spark, sf), window=2).groupBy("outcome").agg(F.count("*").alias("blocks"), F.sum("n_truth").alias("truth_calls"), F.sum("n_query").alias("query_calls"))
+    return haplotypes.compared(truth(spark, sf), query(spark, sf), reference(spark, sf)).groupBy("outcome").agg(F.count("*").alias("blocks"), F.sum("n_truth").alias("truth_calls"), F.sum("n_query").alias("query_calls"))
 
 
 def left_shift_alleles(spark, sf):
     """No SQL: alleles roll along the reference."""
     alleles = query(spark, sf).where(F.length("ref") != F.length("alt")).select("chrom", "pos", "ref", "alt").distinct().withColumn("pos0", F.col("pos"))
-    return normalise.left_shifted(alleles, reference(spark, sf), flank=32).select("chrom", "pos0", "pos", "ref", "alt")
+    return normalise.fully_left_shifted(alleles, reference(spark, sf)).select("chrom", "pos0", "pos", "ref", "alt")
 
 
 QUERIES |= {"haplotype_outcomes": haplotype_outcomes, "left_shift_alleles": left_shift_alleles}

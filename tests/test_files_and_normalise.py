@@ -169,3 +169,16 @@ def test_scalars(spark):
     gts = [([0, 1], "het"), ([1, 1], "homalt"), ([1, 2], "hetalt"), ([0, 0], "homref"), ([-1, 1], "halfcall"), ([], "nocall"), ([1], "haploid"), ([-1, -1], "nocall")]
     rows = spark.createDataFrame(gts, "g array<int>, want string").withColumn("got", C.genotype_class(F.col("g")))
     assert all(r["got"] == r["want"] for r in rows.collect())
+
+
+def test_queries_look_as_far_as_the_operators(spark, monkeypatch):
+    from callmark.plans import catalogue
+
+    given = lambda df: lambda spark, sf: df
+    monkeypatch.setattr(catalogue, "reference", given(reference(spark, "GGCAAAAATTCACACAGTTTTGGGGCCCC")))
+    monkeypatch.setattr(catalogue, "truth", given(alleles(spark, [(4, "A", "")]).withColumn("gt", F.lit("homalt"))))
+    monkeypatch.setattr(catalogue, "query", given(alleles(spark, [(8, "A", "")]).withColumn("gt", F.lit("homalt"))))
+    assert [tuple(r) for r in catalogue.haplotype_outcomes(spark, "").collect()] == [("match", 1, 1, 1)]
+    monkeypatch.setattr(catalogue, "reference", given(reference(spark, "GG" + "A" * 1500 + "CGT" + "CA" * 20)))
+    monkeypatch.setattr(catalogue, "query", given(alleles(spark, [(1502, "A", ""), (300, "A", ""), (258, "", "A"), (1546, "", "CA"), (1505, "TC", "C")])))
+    assert sorted(tuple(r)[1:] for r in catalogue.left_shift_alleles(spark, "").collect()) == [(258, 3, "", "A"), (300, 3, "A", ""), (1502, 3, "A", ""), (1505, 1505, "T", ""), (1546, 1506, "", "CA")]
