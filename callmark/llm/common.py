@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -10,36 +9,54 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: With it, a finished query drops its shuffle files.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only in local mode."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("callmark.shared.dir", None)
     if not place:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="callmark-")
         spark.conf.set("callmark.shared.dir", place)
     return place
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new place in one folder per application, which may go as a whole once the application has ended."""
+    return os.path.join(shared_dir(spark), f"callmark-{spark.sparkContext.applicationId}", f"{name}-{uuid.uuid4().hex}")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage is cut, and a lost executor costs nothing."""
+    """Write df as Parquet into the shared folder and read it back: lineage is cut, and a lost executor costs nothing.
+
+    The shuffle files of the write go when it has ended, since nothing reads them again.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
-    # Spark drops the shuffle files of a finished query once the driver has collected its plan, which a driver
-    # with much memory may do very late; what a long job has already written would stay on disk till then
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(RELEASE)
+    spark.conf.set(RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_name(df: DataFrame, name: str) -> str:
+    """A name for a working column that df does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, also where body uses it within other lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

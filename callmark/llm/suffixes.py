@@ -18,12 +18,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callmark.llm.common import materialise, table
-from callmark.llm.ngram_join import mixed, word_hashes
+from callmark.llm.common import materialise, own_name, table
+from callmark.llm.words import mixed, sequences, word_hashes
 
 K, WINDOW, LEAST = 24, 27, 50
 #: A key with more than one in so many rows is dealt over several tasks.
@@ -31,27 +31,6 @@ FREQUENT = 2000
 RUNS = "array<struct<lo:int,hi:int,least:bigint>>"
 
 
-def hashed_words(text: str | None) -> np.ndarray:
-    found = (text or "").encode("utf-8", "replace").split()
-    return np.fromiter(map(word_hashes().__getitem__, found), dtype=np.uint64, count=len(found))
-
-
-def first_words(h: np.ndarray, k: int = K) -> np.ndarray:
-    """A hash of the k words from each position on, put together from powers of two."""
-    n = len(h) - k + 1
-    out, done, power, width = np.zeros(max(n, 0), np.uint64), 0, h, 1
-    if n <= 0:
-        return out
-    while True:
-        if k & width:
-            out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + power[done : done + n])
-            done += width
-        if done == k:
-            return out
-        power = mixed(power[: len(power) - width] * np.uint64(0xC2B2AE3D27D4EB4F) + power[width:])
-        width *= 2
-
-
 def selected(keys: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Positions of the least key (the leftmost of equal ones) of some window."""
     if len(keys) <= window:
@@ -108,22 +87,25 @@ def repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_co
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {c: [] for c in ("doc_id", "key", "lo", "passages", "span")}
-            for doc, text in zip(b["doc_id"], b["text"]):
-                h = hashed_words(text)
-                key = first_words(h)
-                at, lo, n = owned(key, least - K + 1)
-                out["doc_id"].append(np.full(len(at), doc, np.int64))
-                out["key"].append(key[at].view(np.int64))
-                out["lo"].append(lo.astype(np.int32))
-                out["passages"].append(n.astype(np.int32))
-                out["span"].append(span_hashes(first_words(h, least), lo, n))
-            if out["doc_id"]:
-                yield pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
-
-    suffixes = rows.mapInPandas(keep, "doc_id long, key long, lo int, passages int, span long")
+            docs = b.column("doc_id").to_numpy()
+            for row, h, bounds in word_hashes(b.column("text")):
+                keys, passages = sequences(h, K), sequences(h, least)
+                doc, place, first, count = [], [], [], []
+                for i, (start, stop) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
+                    at, lo, n = owned(keys[start : max(start, stop - K + 1)], least - K + 1)
+                    doc.append(np.full(len(at), docs[row + i], np.int64))
+                    place.append(at + start)
+                    first.append(lo + start)
+                    count.append(n)
+                doc, place, first, count = (np.concatenate(x) for x in (doc, place, first, count))
+                lo = first - bounds[np.searchsorted(bounds, first, "right") - 1]
+                span = span_hashes(passages, first, count) if len(first) else np.zeros(0, np.int64)
+                columns = [doc, keys[place].view(np.int64) if len(place) else np.zeros(0, np.int64), lo.astype(np.int32), count.astype(np.int32), span]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "key", "lo", "passages", "span"])
+
+    suffixes = rows.mapInArrow(keep, "doc_id long, key long, lo int, passages int, span long")
     groups = suffixes.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most"), (F.min("span") != F.max("span")).alias("several"))
     groups = materialise(groups.where("_least <> _most").select("key", "n", "several"), "shared-suffixes")
     met = materialise(joined_by(suffixes, groups, ["key"]), "met-suffixes")
@@ -134,25 +116,29 @@ def repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_co
     # spans of a key that differ are compared by their passages, taken from the document that stands for the span
     of_doc = spans.where("several").groupBy("doc_id").agg(F.collect_list(F.struct("key", "span", "n", "lo", "passages", "most")).alias("found"))  # no more than a document has words
 
-    def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "span", "n", "doc_id", "most", "ahead"]
         for b in batches:
-            for at in range(0, len(b), 200):
-                out: dict[str, list] = {c: [] for c in ("key", "span", "n", "doc_id", "most", "ahead")}
-                for doc, text, found in zip(b["doc_id"].iloc[at : at + 200], b["text"].iloc[at : at + 200], b["found"].iloc[at : at + 200]):
-                    ahead = first_words(hashed_words(text), least)
-                    found = [f for f in found if f["lo"] + f["passages"] <= len(ahead)]
+            docs, found_of = b.column("doc_id").to_pylist(), b.column("found")
+            for row, h, bounds in word_hashes(b.column("text")):
+                out: dict[str, list] = {c: [] for c in names}
+                for i, (start, stop) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
+                    ahead = sequences(h[start:stop], least)
+                    found = [f for f in found_of[row + i].as_py() if f["lo"] + f["passages"] <= len(ahead)]
+                    if not found:
+                        continue
                     spans = span_hashes(ahead, np.array([f["lo"] for f in found], int), np.array([f["passages"] for f in found], int))
-                    for f, span in zip(found, spans):
+                    for f, span in zip(found, spans.tolist()):
                         if span != f["span"]:  # a repeated row with another text
                             continue
-                        out["doc_id"].append(doc)
+                        out["doc_id"].append(docs[row + i])
                         for c in ("key", "span", "n", "most"):
                             out[c].append(f[c])
                         out["ahead"].append(ahead[f["lo"] : f["lo"] + f["passages"]].view(np.int64))
                 if out["key"]:
-                    yield pd.DataFrame(out)
+                    yield pa.RecordBatch.from_arrays([pa.array(out[c], pa.list_(pa.int64()) if c == "ahead" else pa.int64()) for c in names], names=names)
 
-    compared = rows.join(of_doc, "doc_id").mapInPandas(passages, "key long, span long, n long, doc_id long, most long, ahead array<long>")
+    compared = rows.join(of_doc, "doc_id").mapInArrow(passages, "key long, span long, n long, doc_id long, most long, ahead array<long>")
     compared = materialise(compared, "compared-spans")
     each = compared.select("key", "span", F.col("n").alias("rows"), "doc_id", "most", F.posexplode("ahead").alias("i", "ahead"))
     shared = each.groupBy("key", "ahead").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("most").alias("_most"))
@@ -175,27 +161,29 @@ def repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_co
 
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs without the words of later occurrences, also where a first one overlaps them; other columns as they are.  found: as repeats() gives."""
-    cuts = found.where("not first").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("_cuts"))
-    joined = docs.join(cuts, "doc_id", "left")
-    columns = docs.columns
+    cuts, columns = own_name(docs, "_cuts"), docs.columns
+    spans = found.where("not first").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias(cuts))
+    joined = docs.join(spans, "doc_id", "left").select(*columns, cuts)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = list(b["text"])
-            for i, cuts in enumerate(b["_cuts"]):
-                if cuts is None or texts[i] is None:
-                    continue
-                starts = [m.start() for m in re.finditer(r"[^\x09-\x0d\x20]+", texts[i])]
-                starts.append(len(texts[i]))
-                kept, at = [], 0
-                for start, stop in sorted((c["start"], c["stop"]) for c in cuts):
-                    kept.append(texts[i][at : starts[start]])
-                    at = starts[min(stop, len(starts) - 1)]
-                texts[i] = "".join([*kept, texts[i][at:]])
-            yield b[columns].assign(text=texts)
-
-    changed = joined.where("_cuts is not null").mapInPandas(cut, docs.schema)
-    return joined.where("_cuts is null").select(*columns).unionByName(changed)
+            spans, place = b.column(cuts), b.schema.get_field_index("text")
+            if spans.null_count < len(spans):
+                texts = b.column("text").to_pylist()
+                for i, own in enumerate(spans):
+                    if texts[i] is None or not own.is_valid:
+                        continue
+                    starts = [m.start() for m in re.finditer(r"[^\x09-\x0d\x20]+", texts[i])]
+                    starts.append(len(texts[i]))
+                    kept, at = [], 0
+                    for start, stop in sorted((c["start"], c["stop"]) for c in own.as_py()):
+                        kept.append(texts[i][at : starts[min(start, len(starts) - 1)]])
+                        at = max(at, starts[min(stop, len(starts) - 1)])
+                    texts[i] = "".join([*kept, texts[i][at:]])
+                b = b.set_column(place, "text", pa.array(texts, b.schema.field(place).type))
+            yield b.select(columns)
+
+    return joined.mapInArrow(cut, docs.schema)
 
 
 def op2_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
