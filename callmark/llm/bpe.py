@@ -16,16 +16,16 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callmark.llm.common import table
+from callmark.llm.common import Remembered, table
 
 END = "</w>"
 SPACES = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Distinct chunks that one Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+#: Distinct chunks that one Python worker remembers in each of two generations, and pairs of tokens.
+REMEMBERED, PAIRS = 200_000, 300_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -93,7 +93,7 @@ class PrefixBpe:
                 until_x, x = px[0], px[2]
             else:
                 until_y, y = py[0], py[1]
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         self.pairs[a << 20 | b] = fine
         return fine
@@ -179,7 +179,7 @@ class Chunks:
     """Encodes whole texts chunk by chunk between ASCII white space and remembers chunks."""
 
     def __init__(self, bpe: PrefixBpe):
-        self.bpe, self.known = bpe, {}
+        self.bpe, self.known = bpe, Remembered(REMEMBERED)
 
     @staticmethod
     @functools.lru_cache(maxsize=2)
@@ -187,42 +187,48 @@ class Chunks:
         """One for all tasks of a Python worker."""
         return Chunks(PrefixBpe(path))
 
-    def __call__(self, text: str) -> tuple[bytes, bytes]:
+    def __call__(self, text: bytes) -> tuple[bytes, bytes]:
         """The ids as little-endian unsigned 32-bit integers, and the decoded text in UTF-8."""
-        known, chunks = self.known, text.encode("utf-8", "replace").split()
-        if len(known) > REMEMBERED:
-            known.clear()
-        for c in set(chunks).difference(known):
+        chunks = text.split()
+        missing = self.known.missing(set(chunks))
+        known = self.known.now
+        for c in missing:
             ids = self.bpe.encode(c.decode())
             known[c] = (b"".join([i.to_bytes(4, "little") for i in ids]), "".join([self.bpe.text[i] + " " for i in ids]).encode())
         pairs = [known[c] for c in chunks]
         return b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])[:-1]
 
+    def of_column(self, column: pa.Array) -> Iterator[tuple[bytes, bytes]]:
+        for at in range(0, len(column), 500):
+            yield from (self(t or b"") for t in column.slice(at, 500).cast(pa.binary()).to_pylist())
+
 
 def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit), decoded text.  tokenizer: path of the file."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = Chunks.of(tokenizer)
         for b in batches:
-            out = [chunks(t or "") for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [len(i) // 4 for i, _ in out], "ids": [i for i, _ in out], "decoded": [d.decode() for _, d in out]})
+            out = list(chunks.of_column(b.column("text")))
+            columns = [b.column("doc_id"), pa.array([len(i) // 4 for i, _ in out], pa.int64()), pa.array([i for i, _ in out], pa.binary()), pa.array([d.decode() for _, d in out], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(encode, "doc_id long, n_tokens long, ids binary, decoded string")
+    return rows.mapInArrow(encode, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def bpe_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As bpe_round_trip, with digests in place of ids and text, so that only those leave the Python worker."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = Chunks.of(tokenizer)
         for b in batches:
-            out = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(d).hexdigest()) for i, d in (chunks(t or "") for t in b["text"])]
-            yield pd.DataFrame({"doc_id": b["doc_id"]}).assign(**{n: [o[k] for o in out] for k, n in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))})
+            out = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(d).hexdigest()) for i, d in chunks.of_column(b.column("text"))]
+            columns = [pa.array([o[0] for o in out], pa.int64()), *[pa.array([o[k] for o in out], pa.string()) for k in (1, 2)]]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(encode, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(encode, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

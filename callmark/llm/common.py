@@ -60,3 +60,31 @@ def own_name(df: DataFrame, name: str) -> str:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, also where body uses it within other lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+class Remembered:
+    """What a Python worker remembers of short byte strings, in two generations: when the newer is full, the older goes.
+
+    At most 2 x most entries with keys of at most LONG bytes stay; longer ones are known during one step only.
+    """
+
+    LONG = 64
+
+    def __init__(self, most: int):
+        self.most, self.now, self.older, self.long = most, {}, {}, []
+
+    def missing(self, wanted: set[bytes]) -> list[bytes]:
+        """A new step: those of wanted that are not known; all others are in `now` afterwards."""
+        for w in self.long:
+            self.now.pop(w, None)
+        if len(self.now) > self.most:
+            self.older, self.now = self.now, {}
+        out, now, older = [], self.now, self.older
+        for w in wanted.difference(now):
+            value = older.get(w)
+            if value is None:
+                out.append(w)
+            else:
+                now[w] = value
+        self.long = [w for w in out if len(w) > self.LONG]
+        return out

@@ -18,17 +18,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callmark.llm.common import materialise, table
+from callmark.llm.common import Remembered, materialise, table
 
 WINDOW, GRID, EOD = 4096, 16, 2
 #: Cells in which the pieces of one length are numbered apart.
 CELLS = 256
-#: Distinct chunks that one Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+#: Distinct chunks that one Python worker remembers in each of two generations; chunks that are encoded together; documents per step.
+REMEMBERED, TOGETHER, STEP = 300_000, 500, 500
 
 
 def combinations(window: int, grid: int) -> list[tuple[int, ...]]:
@@ -159,7 +159,7 @@ class Ids:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.library, self.known = Tokenizer.from_file(path), {}
+        self.library, self.known = Tokenizer.from_file(path), Remembered(REMEMBERED)
         self.library.no_padding()
         self.library.no_truncation()
 
@@ -168,39 +168,51 @@ class Ids:
     def of(path: str) -> Ids:
         return Ids(path)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids.  White space parts words in this kind of vocabulary, so chunks stand alone."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, chunks = self.known, [t.encode("utf-8", "replace").split() for t in texts]
-        missing = list(set().union(*chunks).difference(known))
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            found = self.library.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
-            known.update(zip(part, [np.array(e.ids, dtype="<u4").tobytes() for e in found]))
+        chunks = [t.split() for t in texts]
+        missing = self.known.missing(set().union(*chunks))
+        for at in range(0, len(missing), 20 * TOGETHER):
+            part = missing[at : at + 20 * TOGETHER]
+            groups = [[c.decode() for c in part[k : k + TOGETHER]] for k in range(0, len(part), TOGETHER)]
+            for k, (group, found) in enumerate(zip(groups, self.library.encode_batch([" ".join(g) for g in groups], add_special_tokens=False))):
+                ids, starts = np.array(found.ids, dtype="<u4").tobytes(), [o[0] for o in found.offsets]
+                cuts = np.searchsorted(starts, np.cumsum([0] + [len(c) + 1 for c in group])).tolist()
+                self.known.now.update(zip(part[k * TOGETHER :], [ids[4 * x : 4 * y] for x, y in zip(cuts, cuts[1:])]))
+        known = self.known.now
         return [b"".join(map(known.__getitem__, c)) for c in chunks]
 
+    def of_column(self, column: pa.Array) -> Iterator[tuple[int, bytes]]:
+        """Row and ids of every text of an Arrow column, in order; nulls are empty."""
+        for at in range(0, len(column), STEP):  # bounds what one step holds
+            texts = column.slice(at, STEP).cast(pa.binary()).to_pylist()
+            yield from enumerate(self([t or b"" for t in texts]), at)
+
 
 def token_pieces(docs: DataFrame, tokenizer: str, eod: int = EOD, window: int = WINDOW, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most one window of each document's ids and the end-of-document id.
 
     doc_id, start, length, ids_crc32, doc_tokens; ids (binary, little-endian unsigned 32-bit) if with_ids.
     """
+    names = ["start", "length", "ids_crc32", "doc_tokens"]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = Ids.of(tokenizer), np.array([eod], dtype="<u4").tobytes()
         for b in batches:
-            for at in range(0, len(b), 500):  # bounds what one step holds
-                part, rows = b.iloc[at : at + 500], []
-                for doc, ids in zip(part["doc_id"], encode([t or "" for t in part["text"]])):
-                    ids += end
-                    for start in range(0, len(ids), 4 * window):
-                        piece = ids[start : start + 4 * window]
-                        rows.append((doc, start // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4) + ((piece,) if with_ids else ()))
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + with_ids])
+            rows, numbers, pieces = [], [], []
+            for row, ids in encode.of_column(b.column("text")):
+                ids += end
+                for start in range(0, len(ids), 4 * window):
+                    piece = ids[start : start + 4 * window]
+                    rows.append(row)
+                    numbers.append((start // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
+                    if with_ids:
+                        pieces.append(piece)
+            columns = [b.column("doc_id").take(pa.array(rows, pa.int64())), *[pa.array(c) for c in np.array(numbers, np.int64).reshape(-1, 4).T]]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(pieces, pa.binary())] * with_ids, names=["doc_id", *names, "ids"][: 5 + with_ids])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
+    return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
 
 
 def op8_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

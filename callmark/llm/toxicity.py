@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,8 @@ BEGINNINGS, LEAST = range(3, 10), 2.0
 THRESHOLD = 0.7
 #: Neighbouring pieces of at most PIECE characters may be parts of one word; a disguised word above LONG may be several.
 PIECE, LONG = 3, 40
+#: Words that a task remembers; beyond it a memory starts anew, and all go with the task.
+REMEMBERED = 200_000
 #: Rows where this is 1 are held out.
 FOLD_SQL = "crc32(cast(doc_id as string)) % 3"
 
@@ -184,7 +187,7 @@ class Restorer:
         if out is None:
             out = self.decode_run(seen)
             if len(seen) <= 40:  # longer ones hardly come back
-                if len(self.known_runs) > 500_000:
+                if len(self.known_runs) > REMEMBERED:
                     self.known_runs.clear()
                 self.known_runs[seen] = out
         return out
@@ -193,7 +196,7 @@ class Restorer:
         """seen: lower case.  The word's letters, restored if it looks disguised."""
         out = self.known.get(seen)
         if out is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > REMEMBERED:
                 self.known.clear()
             core = seen.strip("-._*~/\\,'\"`:;^#!?()[]{}<>|")
             out = self.known[seen] = self.decode(seen) if self.odd(seen) else core
@@ -236,7 +239,7 @@ class WordScores(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 1_000_000:
+        if len(self) > REMEMBERED:
             self.clear()
         self[word] = best = max([0.0, *(self.weights[f] for f in features(word) if f in self.weights)])
         return best
@@ -247,9 +250,8 @@ def document_values(words: set[str], scores: WordScores) -> tuple[float, float]:
     return math.log1p(total), math.log1p(100 * total / (len(words) + 20))
 
 
-@functools.lru_cache(maxsize=2)
-def _restorer(key: bytes, size: int) -> Restorer:
-    return Restorer(np.frombuffer(key, dtype=np.float16).astype(np.float32).reshape(size, size, size))
+def restorer_of(model: bytes) -> Restorer:
+    return Restorer(np.frombuffer(model, dtype=np.float16).astype(np.float32).reshape(SIZE, SIZE, SIZE))
 
 
 def learn(rows: DataFrame, labels: DataFrame, model: bytes) -> tuple[dict[str, float], np.ndarray]:
@@ -257,7 +259,7 @@ def learn(rows: DataFrame, labels: DataFrame, model: bytes) -> tuple[dict[str, f
     known = rows.join(F.broadcast(labels), "doc_id")
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer, n = _restorer(model, SIZE), ({}, {})
+        restorer, n = restorer_of(model), ({}, {})
         told = lambda k: pd.DataFrame({"feature": pd.Series(list(n[k]), dtype=object), "toxic": k, "n": list(n[k].values())})
         for b in batches:
             for t, toxic in zip(b["text"], b["toxic"]):
@@ -280,7 +282,7 @@ def learn(rows: DataFrame, labels: DataFrame, model: bytes) -> tuple[dict[str, f
     weights = {r["feature"]: r["odds"] for r in odds.where(F.col("odds") >= LEAST).collect()}  # features of at most TRAIN_ROWS rows
 
     def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer, scores = _restorer(model, SIZE), WordScores(weights)
+        restorer, scores = restorer_of(model), WordScores(weights)
         for b in batches:
             out = [document_values(restored_words(t, restorer), scores) for t in b["text"]]
             yield pd.DataFrame({"x": [o[0] for o in out], "y": [o[1] for o in out], "toxic": b["toxic"].to_numpy()})
@@ -308,9 +310,8 @@ def fitted(rows: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     return model, *learn(rows, given, model)
 
 
-def score_texts(texts: pd.Series, model: bytes, weights: dict[str, float], curve: np.ndarray, scores: WordScores) -> np.ndarray:
-    restorer = _restorer(model, SIZE)
-    x = np.array([(1.0, *document_values(restored_words(t, restorer), scores)) for t in texts]).reshape(-1, 3)
+def score_texts(texts: pa.Array, restorer: Restorer, curve: np.ndarray, scores: WordScores) -> np.ndarray:
+    x = np.array([(1.0, *document_values(restored_words(t.as_py(), restorer), scores)) for t in texts]).reshape(-1, 3)
     return 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
 
 
@@ -319,13 +320,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     model, weights, curve = fitted(rows, labels, train_rows)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scores = WordScores(weights)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer, scores = restorer_of(model), WordScores(weights)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": score_texts(b["text"], model, weights, curve, scores)})
+            columns = [b.column("doc_id"), b.column("held_out"), pa.array(score_texts(b.column("text"), restorer, curve, scores))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score"])
 
     held = rows.withColumn("held_out", F.coalesce(F.expr(FOLD_SQL) == 1, F.lit(False)))
-    scored = held.mapInPandas(score, "doc_id long, held_out boolean, score double")
+    scored = held.mapInArrow(score, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -333,12 +335,12 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """The rows of docs (doc_id, text and others) whose score is below the threshold, in one pass after the fit."""
     model, weights, curve = fitted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels)
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scores = WordScores(weights)
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer, scores = restorer_of(model), WordScores(weights)
         for b in batches:
-            yield b[score_texts(b["text"], model, weights, curve, scores) < threshold]
+            yield b.filter(pa.array(score_texts(b.column("text"), restorer, curve, scores) < threshold))
 
-    return docs.mapInPandas(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op4_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

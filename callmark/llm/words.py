@@ -58,7 +58,7 @@ def _long_word(data: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     for at in range(0, len(data), STEP):
         part = data[at : at + STEP]
         total += scale * (numbers[part] * POWER[: len(part)]).sum(dtype=np.uint64)
-        scale *= POWER[len(part) - 1] * np.uint64(BASE)
+        scale = scale * POWER[len(part) - 1 : len(part)] * np.uint64(BASE)
     return _closed(total, np.array([len(data)]))
 
 

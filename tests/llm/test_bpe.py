@@ -37,7 +37,7 @@ def test_empty(spark, empty):
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.characters(exclude_categories=["Cs"]), max_size=60) | st.text("ab <|endoftext|>'sé\n", max_size=60))
 def test_against_the_library(text):
-    ids, decoded = Chunks.of(PATH)(text)
+    ids, decoded = Chunks.of(PATH)(text.encode())
     want = LIBRARY.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(ids, "<u4").tolist() == want
     assert decoded.decode() == LIBRARY.decode(want, skip_special_tokens=False)

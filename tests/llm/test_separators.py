@@ -36,3 +36,19 @@ def test_documents(spark, odd, folder):
 
 def test_empty(spark, empty):
     assert op9_separator_scan(spark, empty).collect() == []
+
+
+def test_files_are_rolled_and_large_ids_refused(spark, tmp_path, monkeypatch):
+    from callmark.llm import separators
+
+    docs = spark.createDataFrame([(" ".join(f"w{i}" for i in range(n)),) for n in (0, 5, 40, 300, 3, 0, 90)], "text string").coalesce(1)
+    path = f"file://{tmp_path}/flat"
+    monkeypatch.setattr(separators, "PER_FILE", 2)
+    separators.write_flat(docs, public_tokenizers.path("word_bpe_49k.json"), path, block=100)
+    rows = token_counts(spark, path, block=64).collect()
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter(len(library.encode(r["text"], add_special_tokens=False).ids) for r in docs.collect())
+    assert Counter(r["n_tokens"] for r in rows) == want and len({r["file"] for r in rows}) > 1
+    monkeypatch.setattr(separators, "EOD", 300)
+    with pytest.raises(Exception, match="don't fit"):
+        separators.write_flat(docs, public_tokenizers.path("word_bpe_49k.json"), f"file://{tmp_path}/refused")
