@@ -1,14 +1,16 @@
 """Operator 1: exact top-k search among binary codes by incremental multi-index hashing.
 
-Codes of 64 bits are cut into m segments, each of which is an index from the segment's value to the codes that
-have it.  Step s looks up every value at distance s from a query's segment, so that after it all codes within
-m (s + 1) - 1 of the query have been seen.  Hits are verified by the whole Hamming distance; a query is done
-when its k-th verified distance lies within that radius, and the others go on to the next step.
+Codes are cut into segments of about the logarithm of the number of codes, each of which is an index from the
+segment's value to the codes that have it.  Radius 0 looks up a query's own values in all segments; then the
+radius grows one segment after the other: a step looks up all values at distance r in one segment.  When of m
+segments j have been searched up to r and the others up to r - 1, all codes within m r + j - 1 have been seen
+(one that is farther off in each segment differs in more bits).  Hits are verified by the whole Hamming
+distance; a query is done when its k-th verified distance lies within that radius, and the others go on.
 
 Equal codes are one entry of the index, with their number and their k least ids, so that copies cost nothing.
-Ties are broken by the least id.  Rows without a vector or an id are neither found nor asked for; vectors of
-fewer than 64 entries have 0 in the remaining bits, entries that are null or NaN give 0, and those beyond 64
-are refused.  A repeated id is found as often as it stands.
+Ties are broken by the least id.  Rows without a vector or an id are neither found nor asked for; codes have as
+many words of 64 bits as the longest vector needs, shorter vectors have 0 in the remaining bits, and entries
+that are null or NaN give 0.  A repeated id is found as often as it stands.
 """
 
 from __future__ import annotations
@@ -16,24 +18,28 @@ from __future__ import annotations
 import itertools
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callmark.llm.common import materialise, table
 
-BITS, TOP = 64, 10
+WORD, TOP = 64, 10
 #: Bits of a segment: about the logarithm of the number of codes, within these bounds.
-LEAST_BITS, MOST_BITS = 8, 16
+LEAST_BITS, MOST_BITS = 8, 22
 
 
-def sign_codes(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, code: bit i is set where entry i is above 0."""
-    v = F.col(vector_col)
-    places = F.sequence(F.lit(0), F.size(v) - 1)
+def words_of(rows: DataFrame, vector_col: str = "embedding") -> int:
+    """Words of 64 bits that the longest vector needs."""
+    return max(1, -(-(rows.agg(F.max(F.size(vector_col))).first()[0] or 0) // WORD))
+
+
+def sign_codes(rows: DataFrame, words: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """vec_id, code (array of `words` longs): bit i is set where entry i is above 0."""
+    v, one, none = F.col(vector_col), F.lit(1).cast("long"), F.lit(0).cast("long")
     positive = lambda i: F.coalesce((F.get(v, i) > 0) & ~F.isnan(F.get(v, i)), F.lit(False))
-    bits = F.aggregate(places, F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(F.when(positive(i), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
-    code = F.when(F.size(v) == 0, F.lit(0).cast("long")).when(F.size(v) <= BITS, bits).otherwise(F.raise_error(F.lit(f"vectors of more than {BITS} entries")).cast("long"))
-    return rows.where(v.isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), code.alias("code"))
+    places = F.sequence(F.lit(0), F.lit(WORD - 1))
+    word = lambda w: F.aggregate(places, none, lambda a, i: a.bitwiseOR(F.when(positive(i + w * WORD), F.call_function("shiftleft", one, i)).otherwise(none)))
+    return rows.where(v.isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.array(*[word(w) for w in range(words)]).alias("code"))
 
 
 def code_index(codes: DataFrame, k: int) -> DataFrame:
@@ -45,44 +51,59 @@ def code_index(codes: DataFrame, k: int) -> DataFrame:
     return codes.groupBy("code").agg(F.count("*").alias("n")).join(ids, "code")
 
 
-def nearest_codes(asked: DataFrame, index: DataFrame, k: int) -> DataFrame:
+def segments_of(words: int, entries: int) -> list[tuple[int, int, int]]:
+    """(word, first bit, bits) of each segment: equal shares of a word."""
+    bits = min(MOST_BITS, max(LEAST_BITS, math.log2(max(2, entries))))
+    parts = max(round(WORD / bits), -(-WORD // MOST_BITS))
+    cuts = [WORD * i // parts for i in range(parts + 1)]
+    return [(w, lo, hi - lo) for w in range(words) for lo, hi in zip(cuts, cuts[1:])]
+
+
+def nearest_codes(asked: DataFrame, index: DataFrame, words: int, k: int) -> DataFrame:
     """asked: q (distinct codes); index as code_index() gives.  q, code, distance: the k nearest codes of each q."""
     entries = index.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, round(math.log2(max(2, entries)))))
-    starts = list(range(0, BITS, bits))
-    sizes = [min(bits, BITS - s) for s in starts]
-    segments = len(starts)
-    segment = lambda c, s, w: F.shiftrightunsigned(c, s).bitwiseAND(F.lit((1 << w) - 1).cast("long"))
-    parts = lambda c: F.array(*[F.struct(F.lit(j).alias("seg"), segment(c, s, w).alias("value")) for j, (s, w) in enumerate(zip(starts, sizes))])
-    lookup = materialise(index.select("code", "n", F.get("ids", F.lit(0)).alias("least"), F.inline(parts(F.col("code")))), "segments")
-    best = None
-    pending = materialise(asked.select("q").distinct(), "asked")
-    ahead = Window.partitionBy("q").orderBy("distance", "least")
-    for step in range(bits + 1):
-        masks = [sum(1 << b for b in on) for on in itertools.combinations(range(bits), step)]
-        flips = F.expr(f"cast(split('{' '.join(map(str, masks))}', ' ') as array<bigint>)")
-        spread = pending.repartition(int(pending.sparkSession.conf.get("spark.sql.shuffle.partitions")), "q")  # look-ups are many more than queries
-        probes = spread.select("q", F.inline(parts(F.col("q")))).select("q", "seg", F.col("value").alias("own"), F.explode(flips).alias("mask"))
-        probes = probes.where(F.expr(f"mask < shiftleft(1L, element_at(array({', '.join(map(str, sizes))}), seg + 1))")).select("q", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-        hits = probes.join(lookup, ["seg", "value"]).select("q", "code", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"), "n", "least").distinct()
-        if best is not None:
-            hits = hits.unionByName(best).distinct()
-        ranked = hits.withColumn("_r", F.row_number().over(ahead)).where(F.col("_r") <= k).drop("_r")
-        best = materialise(ranked, "nearest")
-        covered = segments * (step + 1) - 1
+    segments = segments_of(words, entries)
+    m = len(segments)
+    value = lambda c, s: F.shiftrightunsigned(F.get(c, F.lit(s[0])), s[1]).bitwiseAND(F.lit((1 << s[2]) - 1).cast("long"))
+    parts = lambda c: F.array(*[F.struct(F.lit(j).alias("seg"), value(c, s).alias("value")) for j, s in enumerate(segments)])
+    apart = sum((F.bit_count(F.get("q", F.lit(w)).bitwiseXOR(F.get("code", F.lit(w)))) for w in range(words)), F.lit(0))
+    lookup = index.select("code", "n", F.get("ids", F.lit(0)).alias("least"), F.inline(parts(F.col("code"))))
+    lookup = materialise(lookup.repartitionByRange("seg", "value").sortWithinPartitions("seg", "value"), "segments")
+    asked = materialise(asked.select("q").distinct(), "asked")
+    ahead = Window.partitionBy("q").orderBy("distance", "least", "code")
+    first = lambda hits, n: hits.withColumn("_r", F.row_number().over(ahead)).where(F.col("_r") <= n).drop("_r")
+
+    def met(probes: Column, pending: DataFrame, found: DataFrame) -> DataFrame:
+        """probes: (seg, value) of each query.  Look-ups are many more than queries, so both sides are dealt by value."""
+        looked = pending.select("q", F.inline(probes)).join(found.hint("merge"), ["seg", "value"])
+        return looked.select("q", "code", apart.alias("distance"), "n", "least")
+
+    best = materialise(first(first(met(parts(F.col("q")), asked, lookup), m * k).distinct(), k), "nearest")
+    for radius, j in itertools.product(range(1, max(s[2] for s in segments) + 1), range(m)):
+        covered = m * radius + j - 1
         upto = F.sum("n").over(ahead.rowsBetween(Window.unboundedPreceding, 0))
-        done = best.withColumn("_n", upto).where((F.col("_n") >= k) & (F.col("distance") <= covered)).select("q").distinct()
-        pending = materialise(pending.join(done, "q", "left_anti"), "asked")
-        if covered >= BITS or pending.isEmpty():
+        all_of_them = F.count("*").over(Window.partitionBy("q")) == entries
+        done = best.select("q", (all_of_them | (upto >= k) & (F.col("distance") <= covered)).alias("_done")).where("_done").select("q").distinct()
+        pending = asked.join(done, "q", "left_anti")
+        if covered >= WORD * words or pending.isEmpty():
             break
+        if radius > segments[j][2]:
+            continue
+        masks = " ".join(str(sum(1 << b for b in on)) for on in itertools.combinations(range(segments[j][2]), radius))
+        own = value(F.col("q"), segments[j])
+        probes = F.transform(F.expr(f"cast(split('{masks}', ' ') as array<bigint>)"), lambda x: F.struct(F.lit(j).alias("seg"), own.bitwiseXOR(x).alias("value")))
+        # a code is met once in this segment, and once at most in an earlier step
+        hits = met(probes, pending, lookup.where(F.col("seg") == j)).unionByName(best)
+        best = materialise(first(first(hits, 2 * k).distinct(), k), "nearest")
     return best.select("q", "code", "distance")
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, distance: the k rows nearest to each query, a query itself included if it is a row."""
-    index = materialise(code_index(sign_codes(rows, id_col, vector_col), k), "codes")
-    asked = materialise(sign_codes(queries, id_col, vector_col).select(F.col("vec_id").alias("query_id"), F.col("code").alias("q")), "queries")
-    near = nearest_codes(asked.select("q"), index, k).join(index.select("code", "ids"), "code").select("q", "distance", F.explode("ids").alias("vec_id"))
+    words = max(words_of(rows, vector_col), words_of(queries, vector_col))
+    index = materialise(code_index(sign_codes(rows, words, id_col, vector_col), k), "codes")
+    asked = materialise(sign_codes(queries, words, id_col, vector_col).select(F.col("vec_id").alias("query_id"), F.col("code").alias("q")), "queries")
+    near = nearest_codes(asked.select("q"), index, words, k).join(index.select("code", "ids"), "code").select("q", "distance", F.explode("ids").alias("vec_id"))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
     return asked.join(ranked, "q").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("distance").cast("int").alias("distance"))
 

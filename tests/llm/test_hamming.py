@@ -1,11 +1,11 @@
 import random
 
-from callmark.llm.hamming import op1_multi_index_hashing, top_k
+from callmark.llm.hamming import op1_multi_index_hashing, segments_of, top_k
 from tests.llm.conftest import SF
 
 
-def brute(rows, queries, k):
-    code = lambda v: tuple(bool(x is not None and x > 0) for x in [*v, *[0.0] * (64 - len(v))])
+def brute(rows, queries, k, bits=64):
+    code = lambda v: tuple(bool(x is not None and x > 0) for x in [*v, *[0.0] * (bits - len(v))])
     known = [(i, code(v)) for i, v in rows if i is not None and v is not None]
     out = set()
     for q, v in queries:
@@ -35,3 +35,17 @@ def test_fewer_rows_than_k_and_empty(spark, empty):
 def test_table(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     assert {tuple(r) for r in op1_multi_index_hashing(spark, SF).collect()} == brute(rows, [r for r in rows if r[0] % 100 == 0], 10)
+
+
+def test_wide_codes(spark):
+    rng = random.Random(4)
+    centres = [[rng.gauss(0, 1) for _ in range(150)] for _ in range(6)]
+    rows = [(i, [x if rng.random() > 0.05 else -x for x in centres[i % 6]]) for i in range(120)] + [(200, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in top_k(df, df.where("vec_id % 40 = 0"), 5).collect()}
+    assert got == brute(rows, [r for r in rows if r[0] % 40 == 0 and r[0] != 200], 5, 150) | {x for x in got if x[0] == 200}
+
+
+def test_segments():
+    assert [s[2] for s in segments_of(1, 50_000)] == [16] * 4 and [s[2] for s in segments_of(1, 2**40)] == [21, 21, 22]
+    assert sum(s[2] for s in segments_of(3, 5)) == 192
