@@ -43,7 +43,7 @@ BEGINNINGS, LEAST = range(3, 10), 2.0
 THRESHOLD = 0.7
 #: Neighbouring pieces of at most PIECE characters may be parts of one word; a disguised word above LONG may be several.
 PIECE, LONG = 3, 40
-#: Words that a task remembers; beyond it a memory starts anew, and all go with the task.
+#: Words that a Python worker remembers in each of its memories; beyond it a memory starts anew.
 REMEMBERED = 200_000
 #: Rows where this is 1 are held out.
 FOLD_SQL = "crc32(cast(doc_id as string)) % 3"
@@ -250,7 +250,9 @@ def document_values(words: set[str], scores: WordScores) -> tuple[float, float]:
     return math.log1p(total), math.log1p(100 * total / (len(words) + 20))
 
 
+@functools.lru_cache(maxsize=1)
 def restorer_of(model: bytes) -> Restorer:
+    """One for all tasks of a Python worker that have the same model."""
     return Restorer(np.frombuffer(model, dtype=np.float16).astype(np.float32).reshape(SIZE, SIZE, SIZE))
 
 
