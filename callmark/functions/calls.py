@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,7 +126,3 @@ def location(text: Column) -> Column:
     part = lambda i: F.regexp_replace(F.regexp_extract(text, r"^([^:]+)(?::([0-9,]+))?(?:-([0-9,]+))?$", i), ",", "")
     number = lambda i: F.expr("cast(null as long)") if i is None else F.when(part(i) != "", part(i).cast("long"))
     return F.struct(F.regexp_extract(text, r"^([^:]+)", 1).alias("chrom"), number(2).alias("start"), number(3).alias("stop"))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

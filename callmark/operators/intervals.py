@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callmark.sources.scratch import written
+
 #: Width of the bins on which overlaps are joined; an interval is copied into each bin that it touches.
 BIN = 1024
 
@@ -14,9 +16,9 @@ def islands(df: DataFrame, keys: list[str], start: str, stop: str, slack: int, b
 
     A run ends where the greatest stop so far plus slack is less than the next start.  Rows are scanned within
     bins of positions, and only one row per bin is scanned for the whole key, so that a key with very many
-    rows (a chromosome) is spread over tasks.
+    rows (a chromosome) is spread over tasks.  df is computed once and written, since three steps read it.
     """
-    b = df.withColumn("_bin", F.floor(F.col(start) / bin_width))
+    b = written(df.withColumn("_bin", F.floor(F.col(start) / bin_width)), "islands")
     ahead = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     reach = b.groupBy(*keys, "_bin").agg(F.max(stop).alias("_reach")).withColumn("_before", F.max("_reach").over(ahead)).drop("_reach")
     local = Window.partitionBy(*keys, "_bin").orderBy(start, stop)

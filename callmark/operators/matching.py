@@ -14,6 +14,12 @@ def intersection(truth: DataFrame, query: DataFrame, keys: list[str] = ALLELE) -
     return t.join(q, keys, "left_semi"), t.join(q, keys, "left_anti"), q.join(t, keys, "left_anti")
 
 
+def allele_presence(truth: DataFrame, query: DataFrame, keys: list[str] = ALLELE) -> DataFrame:
+    """Each distinct allele once, with in_truth and in_query: one grouping over both samples."""
+    both = truth.select(*keys, F.lit(True).alias("_t")).unionByName(query.select(*keys, F.lit(False).alias("_t")))
+    return both.groupBy(*keys).agg(F.max("_t").alias("in_truth"), (~F.min("_t")).alias("in_query"))
+
+
 def one_to_one(truth: DataFrame, query: DataFrame, keys: list[str] = ALLELE, order: tuple[str, ...] = ("rid", "qq")) -> DataFrame:
     """Full outer join in which each call is used at most once: the n-th truth call of a key meets the n-th query call."""
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -48,12 +48,25 @@ def with_metrics(counts: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def filter_strata(rows: DataFrame, filter_col: str = "filt") -> DataFrame:
-    """Each row under ALL and, as the decision stands after filtering, under PASS."""
+    """Each row under ALL and, as the decision stands after filtering, under PASS: two copies of a row, not two plans."""
     failed = ~F.col(filter_col).isin("PASS", ".")
-    demoted = rows.withColumn("filter", F.lit("PASS")).withColumn("bd_truth", F.when(failed & (F.col("bd_truth") == "TP"), "FN").otherwise(F.col("bd_truth"))).withColumn(
-        "bd_query", F.when(failed, F.lit(None)).otherwise(F.col("bd_query"))
-    )
-    return rows.withColumn("filter", F.lit("ALL")).unionByName(demoted)
+    passed_truth = F.when(failed & (F.col("bd_truth") == "TP"), "FN").otherwise(F.col("bd_truth"))
+    stratum = lambda name, t, q: F.struct(F.lit(name).alias("filter"), t.alias("bd_truth"), q.alias("bd_query"))
+    both = F.array(stratum("ALL", F.col("bd_truth"), F.col("bd_query")), stratum("PASS", passed_truth, F.when(~failed, F.col("bd_query"))))
+    kept = [c for c in rows.columns if c not in ("bd_truth", "bd_query")]
+    return rows.select(*kept, F.inline(both))
+
+
+def subset_strata(rows: DataFrame, subsets: Column) -> DataFrame:
+    """Each row under the subset * and under each of its own (an array of names)."""
+    return rows.select(*rows.columns, F.explode(F.concat(F.array(F.lit("*")), F.coalesce(subsets, F.array().cast("array<string>")))).alias("subset"))
+
+
+def false_positive_split(matched: DataFrame, truth: DataFrame) -> DataFrame:
+    """matched: one_to_one() rows with decisions.  fp_kind of false positives: gt (the allele is true, the genotype is not), al (a true call with other alleles stands there), or none."""
+    at = truth.select("chrom", "pos").distinct().withColumn("_there", F.lit(True))
+    kind = F.when(F.col("in_truth"), "gt").when(F.col("_there"), "al").otherwise("none")
+    return matched.where(F.col("bd_query") == "FP").join(at, ["chrom", "pos"], "left").withColumn("fp_kind", kind).drop("_there")
 
 
 def subtype_strata(rows: DataFrame) -> DataFrame:

@@ -38,9 +38,9 @@ SELECT 'TP' AS decision, count(*) AS n FROM t SEMI JOIN q USING ({KEYS})
 UNION ALL SELECT 'FN', count(*) FROM t ANTI JOIN q USING ({KEYS})
 UNION ALL SELECT 'FP', count(*) FROM q ANTI JOIN t USING ({KEYS})""")
 def allele_match_counts(spark, sf):
-    parts = zip(("TP", "FN", "FP"), matching.intersection(truth(spark, sf), query(spark, sf)))
-    counted = [df.groupBy().agg(F.lit(name).alias("decision"), F.count("*").alias("n")) for name, df in parts]
-    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+    t, q = F.col("in_truth"), F.col("in_query")
+    n = matching.allele_presence(truth(spark, sf), query(spark, sf)).agg(F.count_if(t & q).alias("TP"), F.count_if(t & ~q).alias("FN"), F.count_if(~t & q).alias("FP"))
+    return n.select(F.inline(F.array(*[F.struct(F.lit(d).alias("decision"), F.col(d).alias("n")) for d in ("TP", "FN", "FP")])))
 
 
 @query_of(f"SELECT DISTINCT {KEYS} FROM truth ANTI JOIN query USING ({KEYS})")
@@ -148,6 +148,55 @@ def extended_strata(spark, sf):
     return strata.with_metrics(strata.decision_counts(stratified, ["type", "subtype", "genotype"]))
 
 
+@query_of(ONE + UNK + STRATA.replace("FROM m", "FROM u").replace(f"SELECT {TYPE} AS type,", f"SELECT inside, {TYPE} AS type,").replace(f"SELECT {TYPE}, 'PASS'", f"SELECT inside, {TYPE}, 'PASS'")
+  + ", x AS (SELECT '*' AS subset, * FROM s UNION ALL SELECT CASE WHEN inside THEN 'confident' ELSE 'elsewhere' END, * FROM s)" + metrics_sql("subset, type, filter", "x"))
+def subset_strata(spark, sf):
+    """The summary for all calls, for those in confident regions and for those elsewhere."""
+    rows = strata.filter_strata(assessed(spark, sf))
+    place = F.array(F.when(F.coalesce("inside", F.lit(False)), "confident").otherwise("elsewhere"))
+    return strata.with_metrics(strata.decision_counts(strata.subset_strata(rows, place), ["subset", "type", "filter"]))
+
+
+@query_of(ONE + f"""
+, here AS (SELECT DISTINCT chrom, pos FROM truth)
+SELECT {TYPE} AS type, filt, count(*) AS fp, count(*) FILTER (m.gt_truth IS NOT NULL) AS fp_gt, count(*) FILTER (m.gt_truth IS NULL AND here.pos IS NOT NULL) AS fp_al
+FROM m LEFT JOIN here ON m.chrom = here.chrom AND m.pos = here.pos WHERE bd_query = 'FP' GROUP BY ALL""")
+def fp_gt_al_split(spark, sf):
+    """False positives whose allele is true with another genotype, and those where a true call with other alleles stands."""
+    rows = strata.false_positive_split(matched(spark, sf), truth(spark, sf))
+    return rows.groupBy("type", "filt").agg(F.count("*").alias("fp"), F.count_if(F.col("fp_kind") == "gt").alias("fp_gt"), F.count_if(F.col("fp_kind") == "al").alias("fp_al"))
+
+
+PIVOT = {f"{side}_{what}": (side, what) for side in ("truth", "query") for what in ("ti", "tv", "het", "homalt")}
+
+
+@query_of(ONE + STRATA.replace("AS type,", "AS type, ref, alt, gt_truth, gt_query,", 1).replace(f"SELECT {TYPE}, 'PASS'", f"SELECT {TYPE}, ref, alt, gt_truth, gt_query, 'PASS'") + """
+, c AS (SELECT type, filter, """ + ", ".join(f"count(*) FILTER (bd_{s} IN ('TP','FN','FP','UNK') AND " + (f"type = 'SNP' AND ref || alt {'IN' if w == 'ti' else 'NOT IN'} ('AG','GA','CT','TC')" if w in ("ti", "tv") else f"gt_{s} = '{w}'") + f") AS {n}" for n, (s, w) in PIVOT.items()) + """ FROM s GROUP BY ALL)
+SELECT *, """ + ", ".join(f"round({s}_{a} / nullif({s}_{b}, 0), 6) AS {s}_{a}_{b}_ratio" for s in ("truth", "query") for a, b in (("ti", "tv"), ("het", "homalt"))) + " FROM c")
+def titv_pivot(spark, sf):
+    """Per type and filter: transitions, transversions, het and homalt calls of each sample, side by side, and their ratios."""
+    rows = strata.filter_strata(matched(spark, sf))
+    ti = C.is_transition(F.col("ref"), F.col("alt"))
+    of = lambda side, what: F.col(f"bd_{side}").isNotNull() & (((F.col("type") == "SNP") & (ti if what == "ti" else ~ti)) if what in ("ti", "tv") else F.col(f"gt_{side}") == what)
+    counted = rows.groupBy("type", "filter").agg(*[F.count_if(of(side, what)).alias(name) for name, (side, what) in PIVOT.items()])
+    share = lambda s, a, b: F.round(C.ratio(F.col(f"{s}_{a}"), F.col(f"{s}_{b}")), 6).alias(f"{s}_{a}_{b}_ratio")
+    return counted.select("*", *[share(s, a, b) for s in ("truth", "query") for a, b in (("ti", "tv"), ("het", "homalt"))])
+
+
+@query_of(f"""SELECT chrom, {SUBTYPE} AS subtype, gt, count(*) AS locations, CAST(sum(CASE gt WHEN 'homalt' THEN 2 ELSE 1 END) AS BIGINT) AS alleles,
+  CAST(sum(CASE WHEN length(alt) > length(ref) THEN length(alt) - length(ref) ELSE 0 END) AS BIGINT) AS bases_inserted, CAST(sum(CASE WHEN length(ref) > length(alt) THEN length(ref) - length(alt) ELSE 0 END) AS BIGINT) AS bases_deleted
+FROM calls GROUP BY ALL""")
+def variant_statistics(spark, sf):
+    """Counts per allele class and genotype class: locations, alleles that are called, bases inserted and deleted."""
+    df, grown = calls(spark, sf).withColumn("subtype", C.subtype(F.col("ref"), F.col("alt"))), F.length("alt") - F.length("ref")
+    return df.groupBy("chrom", "subtype", "gt").agg(
+        F.count("*").alias("locations"),
+        F.sum(F.when(F.col("gt") == "homalt", 2).otherwise(1)).alias("alleles"),
+        F.sum(F.greatest(grown, F.lit(0))).cast("long").alias("bases_inserted"),
+        F.sum(F.greatest(-grown, F.lit(0))).cast("long").alias("bases_deleted"),
+    )
+
+
 @query_of(f"""SELECT filt, count(*) FILTER (ref || alt IN ('AG','GA','CT','TC')) AS ti, count(*) FILTER (ref || alt NOT IN ('AG','GA','CT','TC')) AS tv,
   round(count(*) FILTER (ref || alt IN ('AG','GA','CT','TC')) / nullif(count(*) FILTER (ref || alt NOT IN ('AG','GA','CT','TC')), 0), 6) AS titv
   FROM query WHERE length(ref) = 1 AND length(alt) = 1 GROUP BY filt""")
@@ -452,8 +501,13 @@ def caller_filter_strata(spark, sf):
 
 @query_of("SELECT chrom, count(*) AS n, count(*) FILTER (length(ref) = 1 AND length(alt) = 1) AS snps, count(*) FILTER (gt = 'het') AS het, count(*) FILTER (before >= pos) AS overlaps FROM (SELECT *, lag(pos + length(ref) - 1) OVER (PARTITION BY chrom ORDER BY pos, ref, alt, rid) AS before FROM calls) GROUP BY chrom")
 def sanity_counts(spark, sf):
-    before = F.lag(F.col("pos") + F.length("ref") - 1).over(Window.partitionBy("chrom").orderBy("pos", "ref", "alt", "rid"))
-    rows = calls(spark, sf).withColumn("before", before)
+    """Overlaps with the call before, which is looked up within bins of positions; a bin's first call meets the last one of the bins before."""
+    rows = calls(spark, sf).select("chrom", "pos", "ref", "alt", "rid", "gt", (F.col("pos") + F.length("ref") - 1).alias("end"), F.floor(F.col("pos") / (1 << 20)).alias("bin"))
+    order = F.struct("pos", "ref", "alt", "rid")
+    last = rows.groupBy("chrom", "bin").agg(F.max_by("end", order).alias("end"))
+    carried = last.select("chrom", "bin", F.lag("end").over(Window.partitionBy("chrom").orderBy("bin")).alias("carried"))
+    before = F.coalesce(F.lag("end").over(Window.partitionBy("chrom", "bin").orderBy("pos", "ref", "alt", "rid")), "carried")
+    rows = rows.join(carried, ["chrom", "bin"]).withColumn("before", before)
     return rows.groupBy("chrom").agg(F.count("*").alias("n"), F.count(F.when((F.length("ref") == 1) & (F.length("alt") == 1), 1)).alias("snps"), F.count(F.when(F.col("gt") == "het", 1)).alias("het"), F.count(F.when(F.col("before") >= F.col("pos"), 1)).alias("overlaps"))
 
 
