@@ -1,12 +1,14 @@
 """Operator 7: document fingerprints by order MinHash, by DataFrame functions only.
 
-A text is cut into runs of at most PIECE code points without white space; K neighbouring runs are a k-mer.
-Equal k-mers are numbered by occurrence.  The hash of a numbered k-mer deals it to one of BINS bins and ranks
-it there; the TUPLE k-mers of least rank in a bin are put back into the order in which they stand in the text
-and hashed together.  So a value of the signature changes with a k-mer and also with the order of k-mers.
-The likeness of two signatures is the share of equal values among the bins that either fills.
-
-Nulls count as empty texts; these fill no bin, and two of them are alike by 1.
+A text is cut into pieces: words of up to WORD code points, and the last WORD ones of a longer run; before, single letters of scripts without
+blanks, and stretches that end with vowels, digits or signs, so that where a piece ends depends on the letters
+around it only.  K neighbouring pieces are a k-mer.  Equal k-mers are numbered by occurrence.  A signature has
+one value for each of 2^HASHES_LOG2 hash functions, the hash of a numbered k-mer XOR a constant that differs
+from function to function in the leading bits: the TUPLE numbered k-mers of least hash in the whole text are put
+back into the order in which they stand there and hashed together.  So a value changes with a k-mer and also
+with the order of k-mers.  The likeness of two signatures is the share of functions whose values are equal.
+
+Nulls count as empty texts; these have no value, and two of them are alike by 1.
 """
 
 from __future__ import annotations
@@ -14,9 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callmark.llm.common import table
+from callmark.llm.common import let, table
 
-PIECE, K, BINS_LOG2, TUPLE = 8, 3, 6, 2
+WORD, K, HASHES_LOG2, TUPLE = 16, 3, 6, 2
+#: Scripts that put no blanks between words; letters after which a piece of a long run ends; the pieces.
+UNSPACED, ENDS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}", r"aeiouAEIOUаеиоуыэюяαεηιουω0-9!-/:-@\[-`{-~"
+PIECES = rf"\S{{1,{WORD}}}+(?!\S)|[{UNSPACED}]|[^\s{ENDS}{UNSPACED}]{{0,7}}+[{ENDS}]++|[^\s{ENDS}{UNSPACED}]{{1,8}}+"
 #: Positions take 24 bits; k-mers from 2^24 on count as standing at the same place.
 PLACE = 24
 #: Rows in one range of doc_id, within which each row finds the next.
@@ -29,15 +34,18 @@ def _long(x: int) -> Column:
 
 
 def with_signature(docs: DataFrame, text_col: str, out: str) -> DataFrame:
-    """docs with the column `out`: the signature, an array of bin << 32 | value, by bin.  Each step is a column, computed once."""
+    """docs with the column `out`: the signature, an array of function << 32 | value.  Each step is a column, computed once.
+
+    Sorted by hash, the least ones under a function are those that share its leading bits, if there are TUPLE of them.
+    """
     place = _long((1 << PLACE) - 1)
     at = lambda a, i: F.coalesce(F.get(a, i), _long(0))
     places = lambda a: F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
     high = lambda x, bits: F.shiftright(x, bits)
     first_of_run = lambda a, bits: F.filter(places(a), lambda i: (i == 0) | (high(at(a, i), bits) != high(at(a, i - 1), bits)))
-    p, v, s, w, b = (f"_{out}_{x}" for x in "pvswb")
+    p, v, s, w, b, f = (f"_{out}_{x}" for x in "pvswbf")
 
-    df = docs.withColumn(p, F.regexp_extract_all(F.col(text_col), F.lit(rf"\S{{1,{PIECE}}}"), F.lit(0)))
+    df = docs.withColumn(p, F.regexp_extract_all(F.col(text_col), F.lit(PIECES), F.lit(0)))
     kmers = F.when(F.size(p) > 0, F.sequence(F.lit(0), F.greatest(F.size(p) - K, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     kmer = lambda i: F.xxhash64(*[F.get(F.col(p), i + j) for j in range(K)])
     df = df.withColumn(v, F.sort_array(F.transform(kmers, lambda i: kmer(i).bitwiseAND(_long(-1 << PLACE)).bitwiseOR(F.least(i.cast("long"), place)))))
@@ -49,29 +57,44 @@ def with_signature(docs: DataFrame, text_col: str, out: str) -> DataFrame:
 
         def one(i: Column) -> Column:
             h = F.xxhash64(high(at(F.col(v), i), PLACE), i - start)
-            bin_ = F.shiftleft(h.bitwiseAND(_long((1 << BINS_LOG2) - 1)), 63 - BINS_LOG2)
-            rank = F.shiftleft(F.shiftrightunsigned(h, 64 - (63 - BINS_LOG2 - PLACE)), PLACE)
+            bin_ = F.shiftleft(h.bitwiseAND(_long((1 << HASHES_LOG2) - 1)), 63 - HASHES_LOG2)
+            rank = F.shiftleft(F.shiftrightunsigned(h, 64 - (63 - HASHES_LOG2 - PLACE)), PLACE)
             return bin_.bitwiseOR(rank).bitwiseOR(at(F.col(v), i).bitwiseAND(place))
 
         return F.transform(F.sequence(start, after - 1), one)
 
     df = df.withColumn(w, F.sort_array(F.flatten(F.transform(F.col(s), numbered))))
-    df = df.withColumn(b, first_of_run(F.col(w), 63 - BINS_LOG2))
+    df = df.withColumn(b, first_of_run(F.col(w), 63 - HASHES_LOG2))
 
-    def value(i: Column) -> Column:
-        own = F.filter(F.slice(F.col(w), i + 1, TUPLE), lambda x: high(x, 63 - BINS_LOG2) == high(at(F.col(w), i), 63 - BINS_LOG2))
-        in_text = F.array_sort(F.transform(own, lambda x: F.struct(x.bitwiseAND(place).alias("place"), high(x, PLACE).alias("kmer"))))
-        mixed = F.xxhash64(F.transform(in_text, lambda x: x["kmer"])).bitwiseAND(_long(0xFFFFFFFF))
-        return F.shiftleft(high(at(F.col(w), i), 63 - BINS_LOG2), 32).bitwiseOR(mixed)
+    bits = 63 - HASHES_LOG2
 
-    return df.withColumn(out, F.transform(F.col(b), value)).drop(p, v, s, w, b)
+    def value(own: Column) -> Column:
+        in_text = F.array_sort(F.transform(own, lambda x: F.struct(x.bitwiseAND(place).alias("place"), high(x, PLACE).alias("kmer"))))
+        return F.xxhash64(F.transform(in_text, lambda x: x["kmer"])).bitwiseAND(_long(0xFFFFFFFF))
+
+    def leading(i: Column) -> Column:
+        """The least of those that share the leading bits, which begin at i."""
+        same = lambda x: high(x, bits) == high(at(F.col(w), i), bits)
+        return F.struct(high(at(F.col(w), i), bits).cast("int").alias("function"), F.filter(F.slice(F.col(w), i + 1, TUPLE), same).alias("least"))
+
+    # under function j come first the k-mers with its leading bits, then those whose last of these bits differs, then
+    # those whose last but one differs, and so on; each as the function with the other bit orders them
+    functions = F.sequence(F.lit(0), F.lit((1 << HASHES_LOG2) - 1))
+    nothing = F.array().cast("array<bigint>")
+    found = let(F.map_from_entries(F.transform(F.col(b), leading)), lambda m: F.transform(functions, lambda j: F.coalesce(F.try_element_at(m, j), nothing)))
+    df = df.withColumn(f, found)
+    for bit in range(HASHES_LOG2):
+        other = lambda j: F.get(F.col(f), j.bitwiseXOR(F.lit(1 << bit)))  # noqa: B023, E731
+        filled = F.transform(f, lambda own, j: F.when(F.size(own) >= TUPLE, own).otherwise(F.slice(F.concat(own, other(j)), 1, TUPLE)))
+        df = df.withColumn(f, filled)
+    values = F.transform(f, lambda own, j: F.shiftleft(j.cast("long"), 32).bitwiseOR(value(own)))
+    return df.withColumn(out, F.when(F.size(w) > 0, values).otherwise(nothing)).drop(p, v, s, w, b, f)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1; 1 for two empty signatures."""
-    bins = lambda x: F.transform(x, lambda y: F.shiftright(y, 32))
-    union = F.size(F.array_union(bins(a), bins(b)))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    n = F.greatest(F.size(a), F.size(b))
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / n)
 
 
 def written(signature: Column) -> Column:

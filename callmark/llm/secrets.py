@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callmark.llm.common import let, table
+from callmark.llm.common import let, own_name, table
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"  # runs that are too short have no longer part that matches
@@ -97,8 +97,11 @@ def _spans(text: Column, pattern: str, kind: int, keep, group: int = 0) -> Colum
     return F.when(text.rlike(pattern), let(hits, walk)).otherwise(nothing)
 
 
-def find_secrets(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """docs with base_spans and added_spans: arrays of (start, kind, stop) in order; kind is a place in KINDS."""
+def find_secrets(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, text_col: str = "text", names: tuple[str, str] = ("base_spans", "added_spans")) -> DataFrame:
+    """docs with base_spans and added_spans (or other names): arrays of (start, kind, stop) in order; kind is a place in KINDS.
+
+    An added span may overlap base spans; one that a base span covers is left out.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.concat(
         _spans(text, ASSIGN, 0, lambda value: F.length(value) >= 6, 2),
@@ -113,10 +116,12 @@ def find_secrets(docs: DataFrame, model: list[float], threshold: float = THRESHO
         return mixed & (ratio(run, weights) > threshold)
 
     # a single pass decides which rows have such runs at all; their places are then found in those rows alone
-    suspect = docs.withColumn("_base", F.array_sort(base)).withColumn("_some", F.exists(runs, secret))
-    found = F.when(F.col("_some"), _spans(text, RUN, 3, secret)).otherwise(F.array().cast(SPAN))
-    overlaps = lambda s: F.exists("_base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    return suspect.withColumn("_added", F.filter(found, lambda s: ~overlaps(s))).withColumnsRenamed({"_base": "base_spans", "_added": "added_spans"}).drop("_some")
+    base_spans, added_spans = names
+    some = own_name(docs, "_some")
+    suspect = docs.withColumn(base_spans, F.array_sort(base)).withColumn(some, F.exists(runs, secret))
+    found = F.when(F.col(some), _spans(text, RUN, 3, secret)).otherwise(F.array().cast(SPAN))
+    covered = lambda s: F.exists(base_spans, lambda b: (b["start"] <= s["start"]) & (s["stop"] <= b["stop"]))
+    return suspect.withColumn(added_spans, F.filter(found, lambda s: ~covered(s))).drop(some)
 
 
 def _written(spans: Column) -> Column:
@@ -125,8 +130,8 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text") -> DataFrame:
-    """docs with base_spans and added_spans, without those columns; each span of the text replaced by a mark."""
+def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text", names: tuple[str, str] = ("base_spans", "added_spans")) -> DataFrame:
+    """docs with base_spans and added_spans, without those columns; each span of the text (spans that overlap as one) replaced by a mark."""
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -134,9 +139,15 @@ def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text") -> D
         kept = F.when(s["start"] >= a["at"], F.concat(F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.greatest(a["at"], s["stop"]).alias("at"), F.concat(a["out"], kept).alias("out"))
 
-    spans = F.array_sort(F.concat("base_spans", "added_spans"))
+    spans = F.array_sort(F.concat(*names))
     clean = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))))
-    return docs.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).drop("base_spans", "added_spans")
+    return docs.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).drop(*names)
+
+
+def without_secrets(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> DataFrame:
+    """docs with every secret replaced by a mark; other columns as they are, whatever their names."""
+    names = own_name(docs, "base_spans"), own_name(docs, "added_spans")
+    return redact(find_secrets(docs, model, threshold, names=names), names=names)
 
 
 def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
