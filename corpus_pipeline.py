@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from callmark.llm.common import materialise, table
 from callmark.llm.ngram_join import one_of_each
 from callmark.llm.packing import pack, token_pieces
-from callmark.llm.secrets import find_secrets, redact, samples, train
+from callmark.llm.secrets import samples, train, without_secrets
 from callmark.llm.suffixes import repeats, without_repeats
 from callmark.llm.toxicity import without_toxic
 
@@ -39,7 +39,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark."""
-    return _measured(redact(find_secrets(docs, train(samples(docs)))))
+    return _measured(without_secrets(docs, train(samples(docs))))
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
