@@ -10,7 +10,6 @@ Nulls and empty texts have no ids and decode to the empty text.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import unicodedata
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callmark.llm.common import Remembered, table
+from callmark.llm.common import Remembered, in_worker, table
 
 END = "</w>"
 SPACES = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -178,14 +177,13 @@ class PrefixBpe:
 class Chunks:
     """Encodes whole texts chunk by chunk between ASCII white space and remembers chunks."""
 
-    def __init__(self, bpe: PrefixBpe):
-        self.bpe, self.known = bpe, Remembered(REMEMBERED)
+    def __init__(self, path: str):
+        self.bpe, self.known = PrefixBpe(path), Remembered(REMEMBERED)
 
     @staticmethod
-    @functools.lru_cache(maxsize=2)
     def of(path: str) -> Chunks:
         """One for all tasks of a Python worker."""
-        return Chunks(PrefixBpe(path))
+        return in_worker(Chunks, path)
 
     def __call__(self, text: bytes) -> tuple[bytes, bytes]:
         """The ids as little-endian unsigned 32-bit integers, and the decoded text in UTF-8."""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +64,17 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+@functools.lru_cache(maxsize=1)
+def in_worker(make: Callable, *args):
+    """make(*args), which a Python worker keeps for later tasks until another operator keeps its own: never what two of them remember."""
+    return make(*args)
+
+
+def forget() -> None:
+    """Drop what an earlier operator left in this Python worker."""
+    in_worker.cache_clear()
+
+
 class Remembered:
     """What a Python worker remembers of short byte strings, in two generations: when the newer is full, the older goes.
 

@@ -13,7 +13,6 @@ Nulls and empty texts have only the end-of-document id.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callmark.llm.common import Remembered, materialise, table
+from callmark.llm.common import Remembered, in_worker, materialise, table
 
 WINDOW, GRID, EOD = 4096, 16, 2
 #: Cells in which the pieces of one length are numbered apart.
@@ -164,9 +163,9 @@ class Ids:
         self.library.no_truncation()
 
     @staticmethod
-    @functools.lru_cache(maxsize=2)
     def of(path: str) -> Ids:
-        return Ids(path)
+        """One for all tasks of a Python worker."""
+        return in_worker(Ids, path)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids.  White space parts words in this kind of vocabulary, so chunks stand alone."""

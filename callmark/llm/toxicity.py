@@ -24,8 +24,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from callmark.llm.common import materialise, table
+from callmark.llm.common import in_worker, materialise, own_name, table
 
 #: The letters of the character model; everything else is a border of words.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿß"
@@ -250,15 +251,18 @@ def document_values(words: set[str], scores: WordScores) -> tuple[float, float]:
     return math.log1p(total), math.log1p(100 * total / (len(words) + 20))
 
 
-@functools.lru_cache(maxsize=1)
+def _restorer(model: bytes) -> Restorer:
+    return Restorer(np.frombuffer(model, dtype=np.float16).astype(np.float32).reshape(SIZE, SIZE, SIZE))
+
+
 def restorer_of(model: bytes) -> Restorer:
     """One for all tasks of a Python worker that have the same model."""
-    return Restorer(np.frombuffer(model, dtype=np.float16).astype(np.float32).reshape(SIZE, SIZE, SIZE))
+    return in_worker(_restorer, model)
 
 
-def learn(rows: DataFrame, labels: DataFrame, model: bytes) -> tuple[dict[str, float], np.ndarray]:
-    """rows: doc_id, text; labels: doc_id, toxic, a bounded number.  Weights of features and of the logistic curve."""
-    known = rows.join(F.broadcast(labels), "doc_id")
+def learn(rows: DataFrame, labels: DataFrame, model: bytes, keep: list[str] | None = None, values: str = "_values") -> tuple[dict[str, float], DataFrame]:
+    """rows: doc_id, text and others; labels: doc_id, toxic, a bounded number.  Weights of features, and the columns `keep` (or all) of rows with the document values, written."""
+    known = with_labels(rows.select("doc_id", "text"), labels).select("text", "toxic")
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restorer, n = restorer_of(model), ({}, {})
@@ -269,13 +273,13 @@ def learn(rows: DataFrame, labels: DataFrame, model: bytes) -> tuple[dict[str, f
                 own[""] = own.get("", 0) + 1  # documents
                 for f in {f for w in restored_words(t, restorer) for f in features(w)}:
                     own[f] = own.get(f, 0) + 1
-            for k in (0, 1):
-                if len(n[k]) > 500_000:
-                    yield told(k)
-                    n[k].clear()
+                if len(n[0]) + len(n[1]) > 400_000:
+                    for k in (0, 1):
+                        yield told(k)
+                        n[k].clear()
         yield from (told(k) for k in (0, 1) if n[k])
 
-    counted = known.select("text", "toxic").mapInPandas(counts, "feature string, toxic int, n long").groupBy("feature")
+    counted = known.mapInPandas(counts, "feature string, toxic int, n long").groupBy("feature")
     counted = counted.agg(F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("n"))), F.lit(0)).alias("toxic"), F.coalesce(F.sum(F.when(F.col("toxic") == 0, F.col("n"))), F.lit(0)).alias("clean"))
     counted = materialise(counted.where((F.col("feature") == "") | (F.col("toxic") >= LEAST_ROWS)), "features")
     all_rows = counted.where("feature = ''").select("toxic", "clean").first() or (0, 0)
@@ -283,13 +287,27 @@ def learn(rows: DataFrame, labels: DataFrame, model: bytes) -> tuple[dict[str, f
     odds = counted.where("feature <> ''").select("feature", (share("toxic", all_rows[0]) - share("clean", all_rows[1])).alias("odds"))
     weights = {r["feature"]: r["odds"] for r in odds.where(F.col("odds") >= LEAST).collect()}  # features of at most TRAIN_ROWS rows
 
-    def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kept = rows.select(*keep).schema if keep else rows.schema
+    places = [i for i, f in enumerate(rows.schema.names) if keep is None or f in keep]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, scores = restorer_of(model), WordScores(weights)
         for b in batches:
-            out = [document_values(restored_words(t, restorer), scores) for t in b["text"]]
-            yield pd.DataFrame({"x": [o[0] for o in out], "y": [o[1] for o in out], "toxic": b["toxic"].to_numpy()})
+            out = np.array([document_values(restored_words(t.as_py(), restorer), scores) for t in b.column("text")]).reshape(-1, 2)
+            own = pa.StructArray.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in places], own], names=[*kept.names, values])
+
+    schema = T.StructType([*kept.fields, T.StructField(values, T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))])
+    return weights, materialise(rows.mapInArrow(measure, schema), "measured")
+
+
+def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows that have a label, with it; labels are of a bounded number."""
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(labels), "doc_id")
+
 
-    seen = known.select("text", "toxic").mapInPandas(values, "x double, y double, toxic int").toPandas()  # at most TRAIN_ROWS rows
+def logistic_curve(seen: pd.DataFrame) -> np.ndarray:
+    """Weights of 1, x and y for toxic."""
     a, t = np.column_stack([np.ones(len(seen)), seen["x"], seen["y"]]), seen["toxic"].to_numpy(dtype=float)
     w = np.zeros(3)
     for _ in range(50):  # Newton, with a penalty that keeps separable data finite
@@ -298,51 +316,39 @@ def learn(rows: DataFrame, labels: DataFrame, model: bytes) -> tuple[dict[str, f
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
-    return weights, w
+    return w
 
 
-def fitted(rows: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[bytes, dict[str, float], np.ndarray]:
-    """rows: doc_id, text.  The character model over all rows, and what is learned from labelled ones outside the held-out fold."""
+def with_scores(rows: DataFrame, labels: DataFrame, score: str = "score", train_rows: int = TRAIN_ROWS, keep: list[str] | None = None) -> DataFrame:
+    """rows (doc_id, text and others; of these the columns `keep`, or all) with their scores.  The character model covers all rows, the rest is learned from labelled ones outside the held-out fold."""
     model = character_model(character_counts(rows)).astype(np.float16).tobytes()
     given = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     given = given.where(F.expr(FOLD_SQL) != 1)
     n = given.count()
     if n > train_rows:
         given = given.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < train_rows)
-    return model, *learn(rows, given, model)
-
-
-def score_texts(texts: pa.Array, restorer: Restorer, curve: np.ndarray, scores: WordScores) -> np.ndarray:
-    x = np.array([(1.0, *document_values(restored_words(t.as_py(), restorer), scores)) for t in texts]).reshape(-1, 3)
-    return 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
+    given = materialise(given, "labels")
+    values = own_name(rows, "_values")
+    _, measured = learn(rows, given, model, keep, values)
+    x, y = F.col(values)["x"], F.col(values)["y"]
+    known = measured.select("doc_id", x.alias("x"), y.alias("y"))
+    c = logistic_curve(with_labels(known, given).select("x", "y", "toxic").toPandas())  # at most TRAIN_ROWS rows, two numbers each
+    at = F.least(F.greatest(F.lit(float(c[0])) + x * float(c[1]) + y * float(c[2]), F.lit(-30.0)), F.lit(30.0))
+    return measured.withColumn(score, 1 / (1 + F.exp(-at))).drop(values)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row; labels: doc_id, toxic."""
+    held = F.coalesce(F.expr(FOLD_SQL) == 1, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    model, weights, curve = fitted(rows, labels, train_rows)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, scores = restorer_of(model), WordScores(weights)
-        for b in batches:
-            columns = [b.column("doc_id"), b.column("held_out"), pa.array(score_texts(b.column("text"), restorer, curve, scores))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score"])
-
-    held = rows.withColumn("held_out", F.coalesce(F.expr(FOLD_SQL) == 1, F.lit(False)))
-    scored = held.mapInArrow(score, "doc_id long, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = with_scores(rows, labels, train_rows=train_rows, keep=["doc_id"])
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs (doc_id, text and others) whose score is below the threshold, in one pass after the fit."""
-    model, weights, curve = fitted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, scores = restorer_of(model), WordScores(weights)
-        for b in batches:
-            yield b.filter(pa.array(score_texts(b.column("text"), restorer, curve, scores) < threshold))
-
-    return docs.mapInArrow(keep, docs.schema)
+    """The rows of docs (doc_id, text and others) whose score is below the threshold."""
+    score = own_name(docs, "_score")
+    return with_scores(docs, labels, score).where(F.col(score) < threshold).drop(score)
 
 
 def op4_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

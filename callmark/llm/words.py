@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from callmark.llm.common import forget
+
 #: Bytes looked at in one step, and bytes of text (of several documents, or of one that is longer) handled together.
 STEP, TOGETHER = 1 << 17, 1 << 20
 BASE = 0x9E3779B97F4A7C15
@@ -105,6 +107,7 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For stretches of rows: the first row, the hashes of all words, where each row's begin (and the end)."""
+    forget()  # operators on words remember nothing between tasks
     data, bounds = bytes_of(column)
     row = 0
     while row < len(column):
