@@ -287,8 +287,8 @@ def learn(rows: DataFrame, labels: DataFrame, model: bytes, keep: list[str] | No
     odds = counted.where("feature <> ''").select("feature", (share("toxic", all_rows[0]) - share("clean", all_rows[1])).alias("odds"))
     weights = {r["feature"]: r["odds"] for r in odds.where(F.col("odds") >= LEAST).collect()}  # features of at most TRAIN_ROWS rows
 
-    kept = rows.select(*keep).schema if keep else rows.schema
-    places = [i for i, f in enumerate(rows.schema.names) if keep is None or f in keep]
+    places = [i for i, name in enumerate(rows.schema.names) if keep is None or name in keep]
+    kept = T.StructType([rows.schema.fields[i] for i in places])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, scores = restorer_of(model), WordScores(weights)
