@@ -15,8 +15,8 @@ toxic word.  Labels of a doc_id that has several are their maximum; rows without
 
 from __future__ import annotations
 
-import functools
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +34,10 @@ SIZE = 64
 #: Letters that a sign may stand for.
 SUBSTITUTES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 SEPARATORS = set("-._*~/\\,'\"`:;^#")
+#: What may surround a word, and what a disguised word may consist of.
+AROUND = "-._*~/\\,'\"`:;^#!?()[]{}<>|"
+DISGUISE = {*LETTERS, *SUBSTITUTES, *SEPARATORS}
+THRICE = re.compile(r"(.)\1\1", re.S)
 #: Costs in nats: a substitute, a dropped separator, a dropped repetition in a run of three or of two, a sign that is no letter.
 SWAP, SKIP, REPEAT, DOUBLE, FOREIGN = 0.5, 0.3, 0.2, 4.0, 9.0
 TRAIN_ROWS = 200_000
@@ -44,6 +48,8 @@ BEGINNINGS, LEAST = range(3, 10), 2.0
 THRESHOLD = 0.7
 #: Neighbouring pieces of at most PIECE characters may be parts of one word; a disguised word above LONG may be several.
 PIECE, LONG = 3, 40
+#: Pieces with blanks of any kind between; the last may have punctuation.
+SPACED = re.compile(r"(?<!\S)\S{1,%d}(?:\s+\S{1,%d})+(?=[\s.,;:!?]|$)" % (PIECE, PIECE))
 #: Words that a Python worker remembers in each of its memories; beyond it a memory starts anew.
 REMEMBERED = 200_000
 #: Rows where this is 1 are held out.
@@ -91,18 +97,17 @@ def character_model(counts: np.ndarray) -> np.ndarray:
 
 class Restorer:
     def __init__(self, model: np.ndarray):
-        self.cost = model
+        self.cost = model.tolist()  # plain numbers, which the loops below read faster
         self.codes = {c: i + 1 for i, c in enumerate(LETTERS)}
         self.known: dict[str, str] = {}
         self.known_runs: dict[str, list[str]] = {}
 
     def odd(self, word: str) -> bool:
         """Whether a word looks disguised: a sign or separator among letters, or a letter three times."""
-        core = word.strip("-._*~/\\,'\"`:;^#!?()[]{}<>|")
+        core = word.strip(AROUND)
         if core.isalpha():
-            return any(a == b == c for a, b, c in zip(core, core[1:], core[2:]))
-        letters = sum(c in self.codes for c in core)
-        return letters >= 2 and all(c in self.codes or c in SUBSTITUTES or c in SEPARATORS for c in word)
+            return THRICE.search(core) is not None
+        return DISGUISE.issuperset(word) and sum([c in self.codes for c in core]) >= 2
 
     def decode(self, seen: str) -> str:
         """Viterbi over the lattice; a state is the last two letters that were read."""
@@ -120,7 +125,7 @@ class Restorer:
             for (a, b), (so_far, text) in best.items():
                 for x, price in own:
                     i = codes[x]
-                    total = so_far + price + float(cost[a, b, i])
+                    total = so_far + price + cost[a][b][i]
                     if total < after.get((b, i), (math.inf,))[0]:
                         after[b, i] = (total, text + x)
                 drop = (REPEAT if runs[k] > 2 else DOUBLE) if run else SKIP if c in SEPARATORS or c == " " else FOREIGN
@@ -129,7 +134,7 @@ class Restorer:
                     if total < after.get((a, b), (math.inf,))[0]:
                         after[a, b] = (total, text)
             best = after
-        return min((so_far + float(cost[a, b, 0]), text) for (a, b), (so_far, text) in best.items())[1]
+        return min((so_far + cost[a][b][0], text) for (a, b), (so_far, text) in best.items())[1]
 
     def decode_run(self, seen: str) -> list[str]:
         """The words of a text in pieces: as decode, but each blank or separator is dropped or a border of words.  Time and memory are linear."""
@@ -157,7 +162,7 @@ class Restorer:
                     if so_far + SKIP < apart.get((a, b), (math.inf,))[0]:
                         apart[a, b] = (so_far + SKIP, read)
                     if b:
-                        total = so_far + float(cost[a, b, 0])
+                        total = so_far + cost[a][b][0]
                         if total < apart.get((b, 0), (math.inf,))[0]:
                             apart[b, 0] = (total, (read, " "))
                 best = apart
@@ -168,14 +173,14 @@ class Restorer:
             for (a, b), (so_far, read) in best.items():
                 for x, price in own:
                     i = codes[x]
-                    total = so_far + price + float(cost[a, b, i])
+                    total = so_far + price + cost[a][b][i]
                     if total < after.get((b, i), (math.inf,))[0]:
                         after[b, i] = (total, (read, x))
                 if c not in codes or run:
                     if so_far + drop < after.get((a, b), (math.inf,))[0]:
                         after[a, b] = (so_far + drop, read)
             best = after
-        read = min(((so_far + (float(cost[a, b, 0]) if b else 0.0), n, read) for n, ((a, b), (so_far, read)) in enumerate(best.items())))[2]
+        read = min(((so_far + (cost[a][b][0] if b else 0.0), n, read) for n, ((a, b), (so_far, read)) in enumerate(best.items())))[2]
         out = []
         while read is not None:
             read, x = read
@@ -194,34 +199,30 @@ class Restorer:
         return out
 
     def word(self, seen: str) -> str:
-        """seen: lower case.  The word's letters, restored if it looks disguised."""
+        """seen: lower case.  The word's letters, restored if it looks disguised; only such words are remembered."""
         out = self.known.get(seen)
         if out is None:
+            if not self.odd(seen):
+                return seen.strip(AROUND)
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            core = seen.strip("-._*~/\\,'\"`:;^#!?()[]{}<>|")
-            out = self.known[seen] = self.decode(seen) if self.odd(seen) else core
+            out = self.known[seen] = self.decode(seen)
         return out
 
 
-@functools.lru_cache(maxsize=1)
-def spaced():
-    import re
-
-    # pieces of up to PIECE characters, with blanks of any kind between; the last may have punctuation
-    return re.compile(r"(?<!\S)\S{1,%d}(?:\s+\S{1,%d})+(?=[\s.,;:!?]|$)" % (PIECE, PIECE))
-
-
 def restored_words(text: str | None, restorer: Restorer) -> set[str]:
     """The distinct words of a whole text, disguised ones restored."""
     low = (text or "").lower()
     words: set[str] = set()
     for w in set(low.split()):
-        if len(w) > LONG and restorer.odd(w):
+        core = w.strip(AROUND)
+        if core.isalpha() and not THRICE.search(core):
+            words.add(core)
+        elif len(w) > LONG and restorer.odd(w):
             words.update(restorer.run(w))  # several words with separators between
         else:
             words.add(restorer.word(w))
-    for m in spaced().finditer(low):
+    for m in SPACED.finditer(low):
         if sum([c in restorer.codes for c in m.group()]) >= 2:
             words.update(restorer.run(m.group()))
     words.discard("")
@@ -233,11 +234,12 @@ def features(word: str) -> list[str]:
 
 
 class WordScores(dict):
-    """The greatest log-odds among a word's features, 0 if none counts."""
+    """The greatest log-odds among a word's features, 0 if none counts.  heads: how words with a feature that counts begin."""
 
     def __init__(self, weights: dict[str, float]):
         super().__init__()
         self.weights = weights
+        self.heads = {x[:3] for f in weights for x in (f, f.removeprefix("="))}
 
     def __missing__(self, word: str) -> float:
         if len(self) > REMEMBERED:
@@ -247,7 +249,7 @@ class WordScores(dict):
 
 
 def document_values(words: set[str], scores: WordScores) -> tuple[float, float]:
-    total = sum([scores[w] for w in words])
+    total = math.fsum([scores[w] for w in words if w[:3] in scores.heads])
     return math.log1p(total), math.log1p(100 * total / (len(words) + 20))
 
 
