@@ -118,7 +118,7 @@ WITH codes AS (
   SELECT vec_id, embedding AS v FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
 ), d AS (
   SELECT q.vec_id AS query_id, r.vec_id AS vec_id,
-         CAST(list_sum(list_transform(range(1, len(r.v) + 1), i -> CASE WHEN (q.v[i] > 0) <> (r.v[i] > 0) THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+         CAST(list_sum([CASE WHEN (q.v[i] > 0) <> (r.v[i] > 0) THEN 1 ELSE 0 END for i in range(1, len(r.v) + 1)]) AS INTEGER) AS distance
   FROM codes q, codes r WHERE q.vec_id % 100 = 0
 ), ranked AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance FROM d
