@@ -8,6 +8,7 @@ from callmark.llm.hamming import OP1_SQL, op1_multi_index_hashing
 from callmark.llm.negatives import OP12_SQL, op12_hard_negatives
 from callmark.llm.ngram_join import op6_ngram_jaccard
 from callmark.llm.packing import op8_nnls_packing
+from callmark.llm.pii import op13_semi_markov_pii
 from callmark.llm.secrets import op5_markov_secrets
 from callmark.llm.separators import op9_separator_scan
 from callmark.llm.sharding import op3_minimax_shards
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_bpe": op10_bpe,
     "op11_exact_whitening": op11_exact_whitening,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_semi_markov_pii": op13_semi_markov_pii,
 }
 ORACLE_SQL: dict[str, str] = {"op1_multi_index_hashing": OP1_SQL, "op12_hard_negatives": OP12_SQL}
