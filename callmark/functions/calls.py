@@ -109,16 +109,23 @@ def f1(r: Column, p: Column) -> Column:
     return F.when(r + p > 0, 2 * r * p / (r + p))
 
 
+def _first_of_each(entries: Column) -> Column:
+    """A map of (key, value) entries in which the first of a repeated key stands."""
+    once = F.aggregate(entries, F.slice(entries, 1, 0), lambda a, e: F.when(F.exists(a, lambda x: x["key"] == e["key"]), a).otherwise(F.concat(a, F.array(e))))
+    keys = F.transform(entries, lambda e: e["key"])
+    return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(once))
+
+
 def info_map(info: Column) -> Column:
-    """INFO text as a map; flags have the value true."""
+    """INFO text as a map; flags have the value true, of a repeated key the first entry stands."""
     pairs = F.filter(F.split(info, ";"), lambda x: (x != "") & (x != "."))
-    return F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1), F.when(x.contains("="), F.substr(x, F.instr(x, F.lit("=")) + 1)).otherwise("true"))))
+    return _first_of_each(F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.when(x.contains("="), F.substr(x, F.instr(x, F.lit("=")) + 1)).otherwise("true").alias("value"))))
 
 
 def format_map(keys: Column, values: Column) -> Column:
-    """FORMAT keys with a sample's values; trailing values may be missing."""
-    k, v = F.split(keys, ":"), F.split(values, ":")
-    return F.map_from_arrays(k, F.transform(k, lambda x, i: F.coalesce(F.get(v, i), F.lit("."))))
+    """FORMAT keys with a sample's values; trailing values may be missing, of a repeated key the first stands."""
+    v = F.split(values, ":")
+    return _first_of_each(F.transform(F.split(keys, ":"), lambda x, i: F.struct(x.alias("key"), F.coalesce(F.get(v, i), F.lit(".")).alias("value"))))
 
 
 def location(text: Column) -> Column:

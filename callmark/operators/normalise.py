@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from callmark.operators.intervals import islands
 from callmark.sources.files import fetched
+from callmark.sources.scratch import written
 
 #: Bases to the left of an allele that shifting may look at.
 FLANK = 256
@@ -20,69 +22,135 @@ FLANK = 256
 MATCH, MISMATCH, OPEN, EXTEND = 1, -4, 6, 1
 
 
-def _run(limit: Column, equal) -> Column:
-    """The greatest n <= limit such that equal(i) holds for 1 to n."""
-    steps = F.when(limit > 0, F.sequence(F.lit(1), limit)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, F.lit(0), lambda n, i: F.when((n == i - 1) & equal(i), i).otherwise(n))
+#: Powers of two by which a common prefix or suffix is measured, the greatest first.
+STEPS = [1 << i for i in range(26, -1, -1)]
 
 
-def trimmed(alleles: DataFrame, padding: int = 0) -> DataFrame:
-    """Shared suffix, then shared prefix removed; `padding` shared bases at least stay at the left."""
-    shortest = lambda: F.least(F.length("ref"), F.length("alt"))
-    tail = _run(shortest() - padding, lambda i: F.substr("ref", F.length("ref") - i + 1, F.lit(1)) == F.substr("alt", F.length("alt") - i + 1, F.lit(1)))
-    cut = alleles.withColumn("_n", tail)
-    cut = cut.withColumn("ref", F.left("ref", F.length("ref") - F.col("_n"))).withColumn("alt", F.left("alt", F.length("alt") - F.col("_n"))).drop("_n")
-    head = _run(shortest() - padding, lambda i: F.substr("ref", i, F.lit(1)) == F.substr("alt", i, F.lit(1)))
-    cut = cut.withColumn("_n", head)
-    moved = cut.withColumn("pos", F.col("pos") + F.col("_n"))
-    return moved.withColumn("ref", F.substr("ref", F.col("_n") + 1, F.length("ref"))).withColumn("alt", F.substr("alt", F.col("_n") + 1, F.length("alt"))).drop("_n")
+def _common(a: Column, b: Column, limit: Column, end) -> Column:
+    """Length of the common prefix (end: F.left) or suffix (F.right) of two strings, at most `limit`: by halves, so that a
+    string is compared as often as its length has bits."""
+    longer = lambda n, step: (n + step <= limit) & (end(a, n + step) == end(b, n + step))
+    return F.aggregate(F.array(*[F.lit(x) for x in STEPS]), F.lit(0), lambda n, step: F.when(longer(n, step), n + step).otherwise(n))
 
 
-def _shift(alleles: DataFrame, bases: str, towards_left: bool, limit: Column | None) -> DataFrame:
-    """Rolls pure insertions and deletions along the neighbouring reference bases, never over N."""
+def _cut(alleles: DataFrame, padding: int, left: bool) -> DataFrame:
+    """The shared prefix (or suffix) removed, but for `padding` bases."""
+    spare = F.least(F.length("ref"), F.length("alt")) - padding
+    cut = alleles.withColumn("_n", _common(F.col("ref"), F.col("alt"), spare, F.left if left else F.right))
+    keep = (lambda c: F.substr(c, F.col("_n") + 1, F.length(c))) if left else (lambda c: F.left(c, F.length(c) - F.col("_n")))
+    cut = cut.withColumns({"ref": keep("ref"), "alt": keep("alt")})
+    return (cut.withColumn("pos", F.col("pos") + F.col("_n")) if left else cut).drop("_n")
+
+
+def trimmed(alleles: DataFrame, padding: int = 0, prefix_first: bool = False) -> DataFrame:
+    """Shared suffix, then shared prefix removed (or the other way round); `padding` shared bases at least stay at the left."""
+    return _cut(_cut(alleles, padding, prefix_first), padding, not prefix_first)
+
+
+def _rolled(alleles: DataFrame, k: Column, towards_left: bool) -> DataFrame:
+    """Pure insertions and deletions moved by k bases, along which they may roll: their bases turn by k places."""
+    seq, m = F.concat("ref", "alt"), F.length("ref") + F.length("alt")
+    turn = F.when(m > 0, k % m).otherwise(0)
+    turned = F.concat(F.right(seq, turn), F.left(seq, m - turn)) if towards_left else F.concat(F.right(seq, m - turn), F.left(seq, turn))
+    out = alleles.withColumn("_y", F.when(k > 0, turned).otherwise(seq)).withColumn("_k", k)
+    is_ins, is_del = (F.length("ref") == 0) & (F.length("alt") > 0), (F.length("alt") == 0) & (F.length("ref") > 0)
+    out = out.withColumn("_ref", F.when(is_del, F.col("_y")).otherwise(F.col("ref"))).withColumn("alt", F.when(is_ins, F.col("_y")).otherwise(F.col("alt")))
+    return out.withColumn("ref", F.col("_ref")).withColumn("pos", F.col("pos") + F.col("_k") * (-1 if towards_left else 1)).drop("_y", "_k", "_ref")
+
+
+def _room(alleles: DataFrame, bases: str, towards_left: bool) -> Column:
+    """Bases by which pure insertions and deletions roll along the neighbouring reference bases, never over N; 0 for others."""
     pure = (F.length("ref") == 0) != (F.length("alt") == 0)
-    seq = F.concat("ref", "alt")
-    m, n = F.length(seq), F.length(bases)
-    whole = F.concat(F.col(bases), seq) if towards_left else F.concat(seq, F.col(bases))
-    at = lambda k: F.substr("_x", k, F.lit(1))
-    room = n if limit is None else F.least(n, F.greatest(limit.cast("int"), F.lit(0)))
+    # rolling over i bases asks that the i nearest bases are those that lie a length of the allele further on; N equals nothing
+    seq, near, same = F.concat("ref", "alt"), F.translate(bases, "N", "#"), F.translate(bases, "N", "%")
     if towards_left:
-        same = lambda i: (at(n - i + 1) == at(n - i + 1 + m)) & (at(n - i + 1) != "N")
+        return F.when(pure, _common(near, F.concat(same, seq), F.length(near), F.right)).otherwise(0)
+    return F.when(pure, _common(near, F.concat(seq, same), F.length(near), F.left)).otherwise(0)
+
+
+def _near(alleles: DataFrame, reference: DataFrame, flank: int, towards_left: bool) -> DataFrame:
+    """alleles with _bases, at most `flank` reference bases beside each."""
+    if towards_left:
+        sites = alleles.withColumn("_from", F.greatest(F.col("pos") - 1 - flank, F.lit(1))).withColumn("_to", F.col("pos") - 2)  # a base before it stays
     else:
-        same = lambda i: (at(i) == at(i + m)) & (at(i + m) != "N")
-    shifted = alleles.withColumn("_x", whole).withColumn("_k", F.when(pure, _run(room, same)).otherwise(0))
-    first = F.length(bases) - F.col("_k") + 1 if towards_left else F.col("_k") + 1
-    after = F.substr("_x", first, m)
-    out = shifted.withColumn("_y", after).withColumn("pos", F.col("pos") + F.col("_k") * (-1 if towards_left else 1))
-    is_ins = F.length("ref") == 0
-    out = out.withColumn("_ref", F.when(pure & ~is_ins, F.col("_y")).otherwise(F.col("ref"))).withColumn("alt", F.when(pure & is_ins, F.col("_y")).otherwise(F.col("alt")))
-    return out.withColumn("ref", F.col("_ref")).drop("_x", "_k", "_y", "_ref", bases)
+        sites = alleles.withColumn("_from", F.col("pos") - 1 + F.length("ref")).withColumn("_to", F.col("_from") + flank - 1)
+    near = fetched(sites, reference, "_from", "_to", "_bases")
+    return near.withColumn("_bases", F.when(F.col("_to") < F.col("_from"), "").otherwise(F.col("_bases"))).drop("_from", "_to")
 
 
 def left_shifted(alleles: DataFrame, reference: DataFrame, flank: int = FLANK, not_before: str | None = None) -> DataFrame:
     """Trimmed alleles moved as far left as the reference allows, by at most `flank` bases and not before that column's position."""
-    sites = trimmed(alleles).withColumn("_from", F.greatest(F.col("pos") - 1 - flank, F.lit(0))).withColumn("_to", F.col("pos") - 2)
-    near = fetched(sites, reference, "_from", "_to", "_bases").withColumn("_bases", F.when(F.col("_to") < F.col("_from"), "").otherwise(F.col("_bases"))).drop("_from", "_to")
-    return _shift(near, "_bases", True, None if not_before is None else F.col("pos") - F.col(not_before))
+    near = _near(trimmed(alleles), reference, flank, True)
+    room = _room(near, "_bases", True)
+    if not_before is not None:
+        room = F.least(room, F.greatest((F.col("pos") - F.col(not_before)).cast("int"), F.lit(0)))
+    return _rolled(near, room, True).drop("_bases")
 
 
-def fully_left_shifted(alleles: DataFrame, reference: DataFrame, flank: int = FLANK) -> DataFrame:
-    """Trimmed alleles moved as far left as the reference allows: those that used up their flank go on with one four times as long."""
+def right_shifted(alleles: DataFrame, reference: DataFrame, flank: int = FLANK) -> DataFrame:
+    """Trimmed alleles moved as far right as the reference allows, by at most `flank` bases."""
+    near = _near(trimmed(alleles), reference, flank, False)
+    return _rolled(near, _room(near, "_bases", False), False).drop("_bases")
+
+
+def _fully(alleles: DataFrame, reference: DataFrame, flank: int, shift) -> DataFrame:
+    """Those that used up their flank go on with one four times as long; what each round has is written, once."""
     columns, done = alleles.columns, None
     going = trimmed(alleles)
     while True:
-        moved = left_shifted(going.withColumn("_start", F.col("pos")), reference, flank).select(*columns, "_start").localCheckpoint()
-        ended = moved.where(F.col("_start") - F.col("pos") < flank).select(*columns)
+        moved = written(shift(going.withColumn("_start", F.col("pos")), reference, flank).select(*columns, "_start"), "shifted")
+        far = F.abs(F.col("_start") - F.col("pos")) >= flank
+        ended = moved.where(~far).select(*columns)
         done = ended if done is None else done.unionByName(ended)
-        going = moved.where(F.col("_start") - F.col("pos") >= flank).select(*columns)
+        going = moved.where(far).select(*columns)
         if going.isEmpty():
             return done
         flank *= 4
 
 
-def right_shifted(alleles: DataFrame, reference: DataFrame, flank: int = FLANK) -> DataFrame:
-    sites = trimmed(alleles).withColumn("_from", F.col("pos") - 1 + F.length("ref")).withColumn("_to", F.col("_from") + flank - 1)
-    return _shift(fetched(sites, reference, "_from", "_to", "_bases").drop("_from", "_to"), "_bases", False, None)
+def fully_left_shifted(alleles: DataFrame, reference: DataFrame, flank: int = FLANK) -> DataFrame:
+    """Trimmed alleles moved as far left as the reference allows, however far that is."""
+    return _fully(alleles, reference, flank, left_shifted)
+
+
+def fully_right_shifted(alleles: DataFrame, reference: DataFrame, flank: int = FLANK) -> DataFrame:
+    """Trimmed alleles moved as far right as the reference allows, however far that is."""
+    return _fully(alleles, reference, flank, right_shifted)
+
+
+def shifted_lists(alleles: DataFrame, reference: DataFrame, keys: list[str], flank: int = FLANK, towards_left: bool = True) -> DataFrame:
+    """Trimmed alleles, all of them, moved left (or right) as far as the reference and the neighbour before allow.
+
+    keys: the columns that make a list, the contig among them (chrom and, say, a sample).  In a list ordered by
+    where alleles stood, a deletion may come to lie next to the bases of the one before, an insertion leaves one
+    base between; nothing passes another.  Where an allele may roll at all, it may also stop half way, so that the
+    free shifts of all alleles are found first, and only alleles whose reaches touch are folded in order: a fold
+    holds the alleles of one repeat, not a contig.
+    """
+    shift = fully_left_shifted if towards_left else fully_right_shifted
+    columns = alleles.columns
+    kept = trimmed(alleles).withColumn("_id", F.monotonically_increasing_id()).withColumn("_own", F.struct("pos", "ref", "alt"))
+    free = shift(kept, reference, flank).withColumn("_room", F.abs(F.col("pos") - F.col("_own.pos")))
+    reach = free.select(*keys, "_id", "_room", "_own", F.col("_own.pos").alias("_p"), (F.col("_own.pos") + F.length("_own.ref") - 1).alias("_e"))
+    low, high = (F.col("_p") - F.col("_room") - 2, F.greatest("_p", "_e") + 1) if towards_left else (F.col("_p") - 2, F.greatest("_p", "_e") + F.col("_room") + 1)
+    runs = islands(reach.withColumn("_low", low).withColumn("_high", high), keys, "_low", "_high", 0)
+    # seen from the right, positions run backwards: the first base is the negative of the last
+    first = F.col("_p") if towards_left else -F.col("_e")
+    last = F.col("_e") if towards_left else -F.col("_p")
+    entry = F.struct(first.alias("first"), last.alias("last"), F.col("_id").alias("id"), F.col("_room").cast("long").alias("room"), (F.length("_own.ref") == 0).alias("ins"))
+    lists = runs.groupBy(*keys, "island_start").agg(F.array_sort(F.collect_list(entry)).alias("_list"))
+    none = F.lit(-(1 << 60)).cast("long")
+    start = F.struct(none.alias("end"), F.array().cast("array<struct<id:bigint,k:bigint>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        # an insertion ends before it begins: its last base is the one before it
+        bound = a["end"] + F.when(x["ins"], 2).otherwise(1)
+        k = F.least(x["room"], F.greatest(x["first"] - bound, F.lit(0).cast("long")))
+        return F.struct(F.greatest(a["end"], x["last"] - k).alias("end"), F.concat(a["out"], F.array(F.struct(x["id"].alias("id"), k.alias("k")))).alias("out"))
+
+    moves = lists.select(F.inline(F.aggregate("_list", start, step, lambda a: a["out"]))).select(F.col("id").alias("_id"), F.col("k").alias("_move"))
+    at = free.join(moves, "_id").withColumns({c: F.col(f"_own.{c}") for c in ("pos", "ref", "alt")})
+    return _rolled(at, F.col("_move").cast("int"), towards_left).select(*columns)
 
 
 def left_padded(alleles: DataFrame, reference: DataFrame) -> DataFrame:
@@ -95,9 +163,9 @@ def left_padded(alleles: DataFrame, reference: DataFrame) -> DataFrame:
     return moved.withColumn("pos", F.when(F.col("_bare"), F.col("pos") - 1).otherwise(F.col("pos"))).drop("_b", "_bare", "_ref")
 
 
-def primitives(alleles: DataFrame) -> DataFrame:
+def primitives(alleles: DataFrame, prefix_first: bool = False) -> DataFrame:
     """Each allele as its single-base changes from the left and the insertion or deletion that remains."""
-    cut = trimmed(alleles)
+    cut = trimmed(alleles, prefix_first=prefix_first)
     shared = F.least(F.length("ref"), F.length("alt"))
     steps = F.when(shared > 0, F.sequence(F.lit(1), shared)).otherwise(F.array().cast("array<int>"))
     snps = F.filter(

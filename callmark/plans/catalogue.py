@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from callmark.functions import calls as C
 from callmark.operators import blocks, haplotypes, intervals, matching, normalise, somatic, strata
+from callmark.plans import germline
 from callmark.sources.adapter import VIEWS, calls, conf, query, read, reference, truth
 from callmark.streaming.sessions import sessions
 
@@ -557,9 +558,11 @@ def haplotype_outcomes(spark, sf):
 
 
 def left_shift_alleles(spark, sf):
-    """No SQL: alleles roll along the reference."""
+    """Insertions and deletions of the query as far left as the reference allows."""
     alleles = query(spark, sf).where(F.length("ref") != F.length("alt")).select("chrom", "pos", "ref", "alt").distinct().withColumn("pos0", F.col("pos"))
     return normalise.fully_left_shifted(alleles, reference(spark, sf)).select("chrom", "pos0", "pos", "ref", "alt")
 
 
 QUERIES |= {"haplotype_outcomes": haplotype_outcomes, "left_shift_alleles": left_shift_alleles}
+QUERIES |= germline.QUERIES
+ORACLE |= germline.ORACLE | {"left_shift_alleles": germline.LEFT_SHIFT_SQL}

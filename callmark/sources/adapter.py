@@ -69,3 +69,52 @@ WITH calls AS (
 ), truth AS (SELECT * FROM calls WHERE rid % 3 <> 0), query AS (SELECT * FROM calls WHERE rid % 3 <> 1),
 conf AS (SELECT 'chr' || (p_partkey % 22 + 1) AS chrom, p_partkey * 10 - 5 AS start, p_partkey * 10 + p_size AS stop, p_brand AS label FROM part)
 """
+
+
+def _base(p, k):
+    """The base at a 0-based place of contig k: runs of A, runs of AC and mixed stretches of 50 bases each."""
+    mixed = F.substring(F.lit("ACGT"), ((p * 7 + F.floor(p / 5) + k) % 4 + 1).cast("int"), F.lit(1))
+    stretch = F.floor(p / 50) % 3
+    return F.when(stretch == 0, "A").when(stretch == 1, F.when(p % 2 == 0, "A").otherwise("C")).otherwise(mixed)
+
+
+def genome(spark: SparkSession, sf_dir: str, chunk: int = 1 << 16) -> DataFrame:
+    """chrom, at, seq: made-up contigs with repeats, as long as the places of sited_calls() go, in chunks."""
+    last = (read(spark, sf_dir, "lineitem").agg(F.max("l_orderkey")).first()[0] or 0) * 110 + 1000  # one row
+    chunks = spark.range(0, last, chunk).select(F.col("id").alias("at"), F.explode(F.sequence(F.lit(1), F.lit(22))).alias("k"))
+    seq = F.array_join(F.transform(F.sequence(F.col("at"), F.least(F.col("at") + chunk, F.lit(last)) - 1), lambda p: _base(p, F.col("k"))), "")
+    return chunks.select(F.concat(F.lit("chr"), F.col("k").cast("string")).alias("chrom"), "at", seq.alias("seq"))
+
+
+def sited_calls(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
+    """Calls whose REF is what genome() has there, in the form of read_calls(), one sample: truth (side 0) or query (1).
+
+    One in five is an insertion or deletion; within a run of A the two sides put the same one at different places.
+    """
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
+    li = li.where(F.col("l_orderkey") % 3 != (0 if side == 0 else 1)).withColumn("k", F.col("l_suppkey") % 22 + 1)
+    kind, p = F.col("l_partkey") % 10, F.col("l_orderkey") * 110 + F.col("l_linenumber") * 9
+    run = F.floor((p - 1) / 50) % 3 == 0
+    p = F.when((kind < 2) & run & F.lit(side == 1), F.floor((p - 1) / 50) * 50 + 20).otherwise(p)
+    at = lambda n: _base(F.col("pos") - 1 + n, F.col("k"))
+    rows = li.withColumn("pos", p).dropDuplicates(["k", "pos", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus"])
+    ref = F.when(kind == 1, F.concat(at(0), at(1))).otherwise(at(0))
+    other = F.substring(F.lit("ACGT"), ((F.instr(F.lit("ACGT"), at(0)) + F.col("l_linenumber") % 3) % 4 + 1).cast("int"), F.lit(1))
+    alt = F.when(kind == 0, F.concat(at(0), at(1))).when(kind == 1, at(0)).otherwise(other)
+    gt = F.when(F.col("l_linestatus") == "O", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1), F.lit(1)))
+    formats = F.create_map(F.lit("GT"), F.lit("."))
+    return rows.select(
+        F.concat(F.lit("chr"), F.col("k").cast("string")).alias("chrom"), "pos", F.lit(".").alias("id"), ref.alias("ref"), F.array(alt).alias("alts"), F.col("l_quantity").cast("float").alias("qual"),
+        F.when(F.col("l_returnflag") == "R", F.array(F.lit("LowQual"))).otherwise(F.array().cast("array<string>")).alias("filters"), F.create_map(F.lit("DP"), F.lit("1")).alias("info"),
+        F.array(F.struct(F.lit("S").alias("sample"), gt.alias("gt"), F.lit(False).alias("phased"), formats.alias("formats"))).alias("calls"), F.lit(False).alias("failed"),
+    )
+
+
+def as_records(calls_of: DataFrame) -> DataFrame:
+    """calls() rows in the form of read_calls(), one sample."""
+    gt = F.when(F.col("gt") == "homalt", F.array(F.lit(1), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+    call = F.struct(F.lit("S").alias("sample"), gt.alias("gt"), F.lit(False).alias("phased"), F.create_map(F.lit("GT"), F.lit(".")).alias("formats"))
+    return calls_of.select(
+        "chrom", "pos", F.lit(".").alias("id"), "ref", F.array("alt").alias("alts"), F.col("qq").cast("float").alias("qual"), F.when(F.col("filt") == "PASS", F.array().cast("array<string>")).otherwise(F.array("filt")).alias("filters"),
+        F.create_map(F.lit("DP"), F.lit("1")).alias("info"), F.array(call).alias("calls"), F.lit(False).alias("failed"),
+    )

@@ -50,12 +50,13 @@ def read_calls(spark: SparkSession, path: str, apply_filters: bool = False) -> D
     """
     names = sample_names(spark, path)
     lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != ""))
-    f = F.split("value", "\t")
+    cells = F.split("value", "\t")
+    f = [F.get(cells, F.lit(i)) for i in range(9 + len(names))]  # a filter above may be asked of any line
     absent = lambda c: F.when(c.isin(".", ""), F.array().cast("array<string>"))
     filters = absent(f[6]).otherwise(F.split(f[6], ";"))
 
     def call(i: int) -> Column:
-        formats = C.format_map(F.coalesce(F.get(f, F.lit(8)), F.lit("GT")), F.coalesce(F.get(f, F.lit(9 + i)), F.lit(".")))
+        formats = C.format_map(F.coalesce(f[8], F.lit("GT")), F.coalesce(f[9 + i], F.lit(".")))
         gt = F.coalesce(formats["GT"], F.lit("."))
         own = F.transform(F.split(gt, r"[/|]"), lambda a: F.coalesce(a.try_cast("int"), F.lit(-1)))
         ok = C.passes(filters) & F.coalesce(formats["FT"], F.lit("PASS")).isin("PASS", ".")
@@ -65,7 +66,7 @@ def read_calls(spark: SparkSession, path: str, apply_filters: bool = False) -> D
     alts = F.transform(absent(f[4]).otherwise(F.split(f[4], ",")), lambda a: F.upper(a))
     calls = F.array(*[call(i) for i in range(len(names))]) if names else F.array().cast("array<struct<sample:string,gt:array<int>,phased:boolean,formats:map<string,string>>>")
     rows = lines.select(
-        f[0].alias("chrom"), f[1].cast("long").alias("pos"), f[2].alias("id"), F.upper(f[3]).alias("ref"), alts.alias("alts"),
+        f[0].alias("chrom"), f[1].try_cast("long").alias("pos"), f[2].alias("id"), F.upper(f[3]).alias("ref"), alts.alias("alts"),
         f[5].try_cast("float").alias("qual"), filters.alias("filters"), C.info_map(f[7]).alias("info"), calls.alias("calls"),
     )
     beyond = F.exists("calls", lambda c: F.exists(c["gt"], lambda g: g > F.size("alts")))
@@ -148,19 +149,34 @@ def fetched(sites: DataFrame, reference: DataFrame, start: str, stop: str, out:
     return rows.select(*sites.columns, F.array_join(F.transform("_p", lambda x: F.coalesce(x["p"], F.lit(""))), "").alias(out))
 
 
-def write_calls(calls: DataFrame, path: str, header_lines: list[str], samples: list[str]) -> None:
-    """Sorted text, one file per partition; the header is a file of its own that sorts first."""
+def write_calls(calls: DataFrame, path: str, header_lines: list[str], samples: list[str], contigs: list[str] | None = None) -> None:
+    """Sorted text in one folder: its files, in the order of their names, are one valid file whose first lines are the header.
+
+    Every FORMAT key that a sample of the record has is written, GT first.  contigs: the order of chromosomes (those that
+    it does not name come last, in the order of their names).
+    """
     spark = calls.sparkSession
     top = [*header_lines, "\t".join(["#" + FIXED[0], *FIXED[1:], "FORMAT", *samples])]
-    spark.createDataFrame([(x,) for x in top], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
     empty = lambda c: F.when(F.size(c) == 0, ".")
     info = F.array_join(F.transform(F.map_entries("info"), lambda e: F.when(e["value"] == "true", e["key"]).otherwise(F.concat_ws("=", e["key"], e["value"]))), ";")
-    gts = [F.array_join(F.transform(F.get("calls", F.lit(i))["gt"], lambda g: F.when(g < 0, ".").otherwise(g.cast("string"))), "/") for i in range(len(samples))]
+    calls = calls.withColumn("_keys", F.filter(F.array_distinct(F.flatten(F.transform("calls", lambda c: F.map_keys(c["formats"])))), lambda k: k != "GT"))
+    mark = lambda c: F.when(c["phased"], "|").otherwise("/")
+
+    def sample(i: int) -> Column:
+        call = F.get("calls", F.lit(i))
+        numbers = F.transform(call["gt"], lambda g: F.when(g < 0, ".").otherwise(g.cast("string")))
+        gt = F.when(F.size(numbers) <= 0, ".").otherwise(F.aggregate(F.slice(numbers, 2, F.greatest(F.size(numbers) - 1, F.lit(0))), F.get(numbers, F.lit(0)), lambda a, x: F.concat(a, mark(call), x)))
+        return F.array_join(F.concat(F.array(F.coalesce(gt, F.lit("."))), F.transform("_keys", lambda k: F.coalesce(call["formats"][k], F.lit(".")))), ":")
+
     line = F.concat_ws(
         "\t", "chrom", F.col("pos").cast("string"), F.coalesce("id", F.lit(".")), "ref", empty("alts").otherwise(F.array_join("alts", ",")),
-        F.coalesce(F.col("qual").cast("string"), F.lit(".")), empty("filters").otherwise(F.array_join("filters", ";")), F.when(info == "", ".").otherwise(info), F.lit("GT"), *gts,
+        F.coalesce(F.regexp_replace(F.col("qual").cast("string"), r"\.0$", ""), F.lit(".")), empty("filters").otherwise(F.array_join("filters", ";")), F.when(info == "", ".").otherwise(info),
+        F.array_join(F.concat(F.array(F.lit("GT")), "_keys"), ":"), *[sample(i) for i in range(len(samples))],
     )
-    calls.orderBy("chrom", "pos", "ref").select(line.alias("value")).write.mode("overwrite").text(f"{path}/records")
+    place = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(c) for c in contigs]), F.col("chrom")), F.lit(0)), F.lit(1 << 30)) if contigs else F.lit(0)
+    body = calls.select(F.lit(1).alias("part"), place.cast("long").alias("place"), "chrom", "pos", "ref", line.alias("value"))
+    head = spark.createDataFrame([(0, i, "", 0, "", x) for i, x in enumerate(top)], "part int, place long, chrom string, pos long, ref string, value string")
+    head.unionByName(body).orderBy("part", "place", "chrom", "pos", "ref", "value").select("value").write.mode("overwrite").text(path)
 
 
 def write_intervals(regions: DataFrame, path: str) -> None:

@@ -6,18 +6,22 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in spark.checkpoint.dir (a temporary folder only in local mode), planned and computed once."""
-    spark = df.sparkSession
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("callmark.scratch.dir", None)
-    if not place:
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in one folder per application within spark.checkpoint.dir (a temporary folder only in local mode)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("callmark.scratch.dir", None)
+    if not shared:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        place = "file://" + tempfile.mkdtemp(prefix="callmark-")
-        spark.conf.set("callmark.scratch.dir", place)
-    path = os.path.join(place, f"callmark-{spark.sparkContext.applicationId}", f"{name}-{uuid.uuid4().hex}")
+        shared = "file://" + tempfile.mkdtemp(prefix="callmark-")
+        spark.conf.set("callmark.scratch.dir", shared)
+    return os.path.join(shared, f"callmark-{spark.sparkContext.applicationId}", f"{name}-{uuid.uuid4().hex}")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, planned and computed once."""
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
