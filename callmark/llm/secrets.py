@@ -3,8 +3,8 @@
 Three patterns give base spans (assignments, access keys, long hexadecimal runs).  The method adds spans:
 runs of 16 or more key-like characters whose mean log-likelihood ratio per character pair, random strings
 against ordinary identifiers, exceeds a threshold.  Both models count character pairs over the labelled
-samples of the whole table: runs that a pattern names as a secret are random, runs without a digit ordinary;
-the counts (at most 80 x 80 x 2) are all that reaches the driver.
+samples of the whole table: runs that a pattern names as a secret are random, runs without a digit and runs of
+digits alone ordinary; the ratio alone decides.  The counts (at most 80 x 80 x 2) are all that reaches the driver.
 
 Nulls count as empty texts and have no spans.  Positions are code points, ends exclusive.
 """
@@ -47,7 +47,7 @@ def samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
     runs = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(RUN), F.lit(0))).alias("run"))
     value = F.regexp_replace("run", KEYWORD, "")
     secret = F.col("run").rlike(KEYWORD) | F.col("run").rlike(f"^(?:{ACCESS}|{HEX})$")
-    return runs.select(value.alias("value"), secret.alias("random")).where((F.length("value") > 1) & (F.col("random") | ~F.col("value").rlike("[0-9]")))
+    return runs.select(value.alias("value"), secret.alias("random")).where((F.length("value") > 1) & (F.col("random") | ~F.col("value").rlike("[0-9]") | F.col("value").rlike("^[0-9]+$")))
 
 
 def train(labelled: DataFrame) -> list[float]:
@@ -112,8 +112,7 @@ def find_secrets(docs: DataFrame, model: list[float], threshold: float = THRESHO
     weights = _table(model)
 
     def secret(run: Column) -> Column:
-        mixed = run.rlike("[0-9]") & run.rlike("[A-Za-z]")
-        return mixed & (ratio(run, weights) > threshold)
+        return ratio(run, weights) > threshold
 
     # a single pass decides which rows have such runs at all; their places are then found in those rows alone
     base_spans, added_spans = names

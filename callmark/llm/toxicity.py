@@ -4,11 +4,13 @@ A character trigram model is counted over all texts.  Words that look disguised
 letters, separators between letters, a letter three or more times, words in short pieces) become lattices: each
 character may stand for itself, for the letters it is a substitute of, or for nothing (a separator, a
 repetition); a blank between short pieces may be a border of words or nothing;
-each choice has a channel cost, and Viterbi decoding finds the cheapest reading under the model.
+each choice has a channel cost, and Viterbi decoding finds the cheapest reading under the model.  Letters that the model
+does not know stay as they are, repetitions of them are taken out; full-width letters count as plain ones, and
+characters of no width are left out.
 The restored words are scored by log-odds of words and word beginnings, learned from labelled rows, and a
 logistic curve over their sum makes the score.
 
-Learning uses at most TRAIN_ROWS labelled rows (by a hash of doc_id) and keeps every feature that counts; the
+Learning uses at most TRAIN_ROWS labelled rows (those of the least hashes of doc_id) and keeps every feature that counts; the
 character model covers all rows.  Nulls count as empty texts, which get a score like any text without a
 toxic word.  Labels of a doc_id that has several are their maximum; rows without a doc_id are never held out.
 """
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +41,7 @@ SEPARATORS = set("-._*~/\\,'\"`:;^#")
 AROUND = "-._*~/\\,'\"`:;^#!?()[]{}<>|"
 DISGUISE = {*LETTERS, *SUBSTITUTES, *SEPARATORS}
 THRICE = re.compile(r"(.)\1\1", re.S)
+REPEATED, WORD = re.compile(r"(.)\1\1+", re.S), re.compile(r"\S+")
 #: Costs in nats: a substitute, a dropped separator, a dropped repetition in a run of three or of two, a sign that is no letter.
 SWAP, SKIP, REPEAT, DOUBLE, FOREIGN = 0.5, 0.3, 0.2, 4.0, 9.0
 TRAIN_ROWS = 200_000
@@ -46,8 +50,10 @@ LEAST_ROWS = 3
 #: Word beginnings of these lengths are features; log-odds count from LEAST on.
 BEGINNINGS, LEAST = range(3, 10), 2.0
 THRESHOLD = 0.7
-#: Neighbouring pieces of at most PIECE characters may be parts of one word; a disguised word above LONG may be several.
+#: Neighbouring pieces of at most PIECE characters may be parts of one word; readings of at most LONG characters are remembered.
 PIECE, LONG = 3, 40
+#: Characters of no width.
+WIDTHLESS = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]+")
 #: Pieces with blanks of any kind between; the last may have punctuation.
 SPACED = re.compile(r"(?<!\S)\S{1,%d}(?:\s+\S{1,%d})+(?=[\s.,;:!?]|$)" % (PIECE, PIECE))
 #: Words that a Python worker remembers in each of its memories; beyond it a memory starts anew.
@@ -107,12 +113,23 @@ class Restorer:
         core = word.strip(AROUND)
         if core.isalpha():
             return THRICE.search(core) is not None
-        return DISGUISE.issuperset(word) and sum([c in self.codes for c in core]) >= 2
+        return DISGUISE.issuperset(core) and sum([c in self.codes for c in core]) >= 2
+
+    @staticmethod
+    def edges(seen: str) -> list[bool]:
+        """Which characters stand around a word: those may be signs of a sentence as well as letters."""
+        out = [False] * len(seen)
+        for m in WORD.finditer(seen):
+            core = m.group().strip(AROUND)
+            lead = len(m.group()) - len(m.group().lstrip(AROUND))
+            for k in [*range(m.start(), m.start() + lead), *range(m.start() + lead + len(core), m.end())]:
+                out[k] = True
+        return out
 
     def decode(self, seen: str) -> str:
         """Viterbi over the lattice; a state is the last two letters that were read."""
         best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        cost, codes = self.cost, self.codes
+        cost, codes, edge = self.cost, self.codes, self.edges(seen)
         runs = [1] * len(seen)  # the length of the run that each character stands in
         for k in range(1, len(seen)):
             runs[k] = runs[k - 1] + 1 if seen[k] == seen[k - 1] else 1
@@ -128,7 +145,7 @@ class Restorer:
                     total = so_far + price + cost[a][b][i]
                     if total < after.get((b, i), (math.inf,))[0]:
                         after[b, i] = (total, text + x)
-                drop = (REPEAT if runs[k] > 2 else DOUBLE) if run else SKIP if c in SEPARATORS or c == " " else FOREIGN
+                drop = SKIP if edge[k] or c in SEPARATORS and not run else (REPEAT if runs[k] > 2 else DOUBLE) if run else FOREIGN
                 if c not in codes or run:
                     total = so_far + drop
                     if total < after.get((a, b), (math.inf,))[0]:
@@ -139,14 +156,15 @@ class Restorer:
     def decode_run(self, seen: str) -> list[str]:
         """The words of a text in pieces: as decode, but each blank or separator is dropped or a border of words.  Time and memory are linear."""
         cost, codes = self.cost, self.codes
-        signs, gaps = [], []  # characters, and how many blanks and separators stand before each
+        signs, gaps, edge = [], [], []  # characters, how many blanks and separators stand before each, whether it stands around a word
         between = 0
-        for c in seen:
+        for c, around in zip(seen, self.edges(seen)):
             if c.isspace() or c in SEPARATORS:
                 between += 1
             else:
                 signs.append(c)
                 gaps.append(between)
+                edge.append(around)
                 between = 0
         runs = [1] * len(signs)
         for k in range(1, len(signs)):
@@ -168,7 +186,7 @@ class Restorer:
                 best = apart
             own = [(c, 0.0)] if c in codes else [(x, SWAP) for x in SUBSTITUTES.get(c, "")]
             run = k > 0 and signs[k - 1] == c
-            drop = (REPEAT if runs[k] > 2 else DOUBLE) if run else FOREIGN
+            drop = SKIP if edge[k] else (REPEAT if runs[k] > 2 else DOUBLE) if run else FOREIGN
             after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (so_far, read) in best.items():
                 for x, price in own:
@@ -192,34 +210,44 @@ class Restorer:
         out = self.known_runs.get(seen)
         if out is None:
             out = self.decode_run(seen)
-            if len(seen) <= 40:  # longer ones hardly come back
+            if len(seen) <= LONG:  # longer ones hardly come back
                 if len(self.known_runs) > REMEMBERED:
                     self.known_runs.clear()
                 self.known_runs[seen] = out
         return out
 
     def word(self, seen: str) -> str:
-        """seen: lower case.  The word's letters, restored if it looks disguised; only such words are remembered."""
+        """seen: lower case, without separators.  The word's letters, restored if it looks disguised; only such words are remembered."""
         out = self.known.get(seen)
         if out is None:
             if not self.odd(seen):
                 return seen.strip(AROUND)
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            out = self.known[seen] = self.decode(seen)
+            core = seen.strip(AROUND)
+            unknown = core.isalpha() and not all([c in self.codes for c in core])
+            out = self.known[seen] = REPEATED.sub(r"\1", core) if unknown else self.decode(seen)
         return out
 
 
+def plain(text: str | None) -> str:
+    """Lower case, with full-width and other forms of letters as the plain ones, without characters of no width."""
+    low = (text or "").lower()
+    if low.isascii():
+        return low
+    return unicodedata.normalize("NFKC", WIDTHLESS.sub("", low))
+
+
 def restored_words(text: str | None, restorer: Restorer) -> set[str]:
     """The distinct words of a whole text, disguised ones restored."""
-    low = (text or "").lower()
+    low = plain(text)
     words: set[str] = set()
     for w in set(low.split()):
         core = w.strip(AROUND)
         if core.isalpha() and not THRICE.search(core):
             words.add(core)
-        elif len(w) > LONG and restorer.odd(w):
-            words.update(restorer.run(w))  # several words with separators between
+        elif not core.isalpha() and not SEPARATORS.isdisjoint(core) and restorer.odd(w):
+            words.update(restorer.run(w))  # one word, or several, with separators between
         else:
             words.add(restorer.word(w))
     for m in SPACED.finditer(low):
@@ -328,7 +356,7 @@ def with_scores(rows: DataFrame, labels: DataFrame, score: str = "score", train_
     given = given.where(F.expr(FOLD_SQL) != 1)
     n = given.count()
     if n > train_rows:
-        given = given.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < train_rows)
+        given = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     given = materialise(given, "labels")
     values = own_name(rows, "_values")
     _, measured = learn(rows, given, model, keep, values)

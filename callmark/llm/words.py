@@ -1,7 +1,8 @@
 """Words of whole texts as 64-bit hashes, computed on the bytes of an Arrow column, many texts at once.
 
-Words are what stands between ASCII white space.  The hash of a word is the sum of a number per byte times a
-power of an odd base, mixed with the length: all words of a stretch come from one running sum over its bytes.
+Words are what stands between ASCII white space.  The hash of a word of at most SHORT bytes is the sum of a number
+per byte times a power of an odd base, mixed with the length: all of a stretch come from one running sum over its
+bytes.  In long words such sums meet for some texts whatever the base, so that these are hashed one by one (XXH3).
 Nulls count as empty texts.  What is held at a time is bounded by STEP and by the longest text.
 """
 
@@ -11,11 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from callmark.llm.common import forget
 
 #: Bytes looked at in one step, and bytes of text (of several documents, or of one that is longer) handled together.
 STEP, TOGETHER = 1 << 17, 1 << 20
+#: Bytes of a word up to which its hash is a sum.
+SHORT = 16
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -27,6 +31,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
 NUMBER = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 LOWERED = NUMBER[np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))]
 
 
@@ -51,17 +56,21 @@ def _stretch(data: np.ndarray, bounds: np.ndarray, numbers: np.ndarray) -> tuple
     first[bounds], last[bounds - 1] = word[bounds], word[bounds - 1]
     starts, stops = np.flatnonzero(first), np.flatnonzero(last)
     sums = np.cumsum(numbers[data] * POWER[: len(data)])
-    own = (sums[stops] - np.where(starts > 0, sums[starts - 1], np.uint64(0))) * INVERSE[starts]
-    return starts, _closed(own, stops + 1 - starts)
+    sizes = stops + 1 - starts
+    own = _closed((sums[stops] - np.where(starts > 0, sums[starts - 1], np.uint64(0))) * INVERSE[starts], sizes)
+    long = np.flatnonzero(sizes > SHORT)
+    if len(long):
+        whole = (LOWER[data] if numbers is LOWERED else data).tobytes()
+        own[long] = np.array([xxhash.xxh3_64_intdigest(whole[a:b]) for a, b in zip(starts[long].tolist(), (stops[long] + 1).tolist())], np.uint64)
+    return starts, own
 
 
 def _long_word(data: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    total, scale = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    state = xxhash.xxh3_64()
     for at in range(0, len(data), STEP):
         part = data[at : at + STEP]
-        total += scale * (numbers[part] * POWER[: len(part)]).sum(dtype=np.uint64)
-        scale = scale * POWER[len(part) - 1 : len(part)] * np.uint64(BASE)
-    return _closed(total, np.array([len(data)]))
+        state.update((LOWER[part] if numbers is LOWERED else part).tobytes())
+    return np.array([state.intdigest()], np.uint64)
 
 
 def hashed(data: np.ndarray, bounds: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:

@@ -78,3 +78,35 @@ def test_a_run_beyond_a_base_span_is_found_and_names_may_clash(spark):
     assert [tuple(s) for s in last["base_spans"]] == [(0, 1, 20)] and [tuple(s) for s in last["added_spans"]] == [(0, 3, 61)]
     clean = without_secrets(docs, model, threshold=0.1)
     assert clean.columns == docs.columns and not any(tail in r["text"] or r["base_spans"] != 1 for r in clean.collect())
+
+
+def test_the_ratio_alone_decides(spark):
+    """Against a plain version; numbers, long words and names are ordinary, whatever signs they have."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from callmark.llm.secrets import EVEN, FIRST, KEYS, SMOOTH, THRESHOLD, WIDTH, _table, ratio
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labelled = samples(docs)
+    model = train(labelled)
+    pairs = {True: {}, False: {}}
+    for r in labelled.collect():
+        for a, b in zip(r["value"], r["value"][1:]):
+            pairs[r["random"]][a, b] = pairs[r["random"]].get((a, b), 0) + 1
+    rows = {k: {a: sum(n for (x, _), n in v.items() if x == a) for a, _ in v} for k, v in pairs.items()}
+
+    def plain(run):
+        total = 0.0
+        for a, b in zip(run, run[1:]):
+            random_ = pairs[True].get((a, b), 0) / (rows[True].get(a) or 1)
+            ordinary = (pairs[False].get((a, b), 0) + SMOOTH) / (rows[False].get(a, 0) + SMOOTH * WIDTH)
+            total += math.log((1 - EVEN) * random_ + EVEN / KEYS) - math.log(ordinary)
+        return total / (len(run) - 1)
+
+    assert FIRST == ord("+")
+    runs = ["erheitlichkeitungen", "4387513035237269", "9f3a7c1be04d5f2a8b6Q", "some_ordinary_name_here"]
+    got = {r["run"]: r["x"] for r in spark.createDataFrame([(r,) for r in runs], "run string").select("run", ratio(F.col("run"), _table(model)).alias("x")).collect()}
+    assert all(abs(got[r] - plain(r)) < 2e-3 for r in runs)
+    assert [r for r in runs if got[r] > THRESHOLD] == ["9f3a7c1be04d5f2a8b6Q"]

@@ -89,3 +89,59 @@ def test_viterbi_finds_the_cheapest_reading():
 
         best = min(product(*choices), key=price)
         assert restorer.decode(seen) == "".join(x for x, _ in best)
+
+
+def test_words_that_separators_letters_and_signs_hide():
+    text = "the idiot and the stupid moron is a loser with pathetic trash and a worthless clown you l and you are an idiot "
+    from callmark.llm.toxicity import LETTERS
+
+    codes = {c: i + 1 for i, c in enumerate(LETTERS)}
+    c = np.array([0, *[codes.get(x, 0) for x in text * 50]])
+    restorer = Restorer(character_model(np.bincount((c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], minlength=SIZE**3).astype(float)))
+    for seen, want in [
+        ("you-idiot", {"you", "idiot"}), ("you,idiot", {"you", "idiot"}), ("you/1d10t", {"you", "idiot"}), ("and...idiot", {"and", "idiot"}), ("l'idiot", {"l", "idiot"}), ("i.d.i.o.t", {"idiot"}),
+        ("\u0438\u0434\u0438\u043e\u0442\u0442\u0442", {"\u0438\u0434\u0438\u043e\u0442"}), ("\u03b7\u03bb\u03af\u03b8\u03b9\u03bf\u03c2\u03c2\u03c2", {"\u03b7\u03bb\u03af\u03b8\u03b9\u03bf\u03c2"}), ("\u017e\u017e\u017eoptee", {"\u017eoptee"}),
+        ("idi0t!!", {"idiot"}), ("1d10t!!!", {"idiot"}), ("(idi0t)", {"idiot"}), ("i\u200bd\u200biot", {"idiot"}), ("\uff49\uff44\uff49\uff4f\uff54", {"idiot"}), ("2023-10-11", {"2023-10-11"}),
+    ]:
+        assert restored_words(seen, restorer) == want, seen
+
+
+def test_runs_find_the_cheapest_reading():
+    """Against all readings of short runs: each sign stands for its letters or nothing, each gap is dropped or a border."""
+    from itertools import product
+
+    from callmark.llm import toxicity as T
+
+    rng = np.random.default_rng(6)
+    model = rng.random((SIZE, SIZE, SIZE)).astype(np.float32) * 3
+    restorer = Restorer(model)
+    for seen in ["a-1b", "ab -c", "a b!1", "x|y z", "a.a1", "b-0-a", "tt-t"]:
+        signs, gaps, between = [], [], False
+        for c, edge in zip(seen, restorer.edges(seen)):
+            if c.isspace() or c in T.SEPARATORS:
+                between = True
+            else:
+                signs.append((c, edge))
+                gaps.append(between)
+                between = False
+        text = "".join(c for c, _ in signs)
+        choices = []
+        for k, (c, edge) in enumerate(signs):
+            lo = next(i for i in range(k + 1) if set(text[i : k + 1]) == {c})
+            length = len(text[lo:]) - len(text[lo:].lstrip(c))
+            own = [(c, 0.0)] if c in restorer.codes else [(x, T.SWAP) for x in T.SUBSTITUTES.get(c, "")]
+            run = k > 0 and text[k - 1] == c
+            if c not in restorer.codes or run:
+                own.append(("", T.SKIP if edge else (T.REPEAT if length > 2 else T.DOUBLE) if run else T.FOREIGN))
+            choices.append([(g + x, p + q) for g, q in ([("", T.SKIP), (" ", 0.0)] if gaps[k] else [("", 0.0)]) for x, p in own])
+
+        def price(reading):
+            words = "".join(x for x, _ in reading).split(" ")
+            total = sum(p for _, p in reading)
+            if any(not w for w in words[1:-1]) or not words[0] and len(words) > 1 or not words[-1] and len(words) > 1:
+                return float("inf")  # a border stands between letters; at the ends it is none
+            code = [0, 0, *(restorer.codes.get(x, 0) for x in " ".join(words)), *([0] if words[-1] else [])]
+            return total + sum(model[a, b, c] for a, b, c in zip(code, code[1:], code[2:]))
+
+        best = min(product(*choices), key=price)
+        assert restorer.decode_run(seen) == "".join(x for x, _ in best).split(), seen
