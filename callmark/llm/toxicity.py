@@ -18,8 +18,10 @@ toxic word.  Labels of a doc_id that has several are their maximum; rows without
 from __future__ import annotations
 
 import math
+import operator
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +41,7 @@ SUBSTITUTES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 SEPARATORS = set("-._*~/\\,'\"`:;^#")
 #: What may surround a word, and what a disguised word may consist of.
 AROUND = "-._*~/\\,'\"`:;^#!?()[]{}<>|"
+EDGE = {*AROUND} - SEPARATORS
 DISGUISE = {*LETTERS, *SUBSTITUTES, *SEPARATORS}
 THRICE = re.compile(r"(.)\1\1", re.S)
 REPEATED, WORD = re.compile(r"(.)\1\1+", re.S), re.compile(r"\S+")
@@ -119,6 +122,8 @@ class Restorer:
     def edges(seen: str) -> list[bool]:
         """Which characters stand around a word: those may be signs of a sentence as well as letters."""
         out = [False] * len(seen)
+        if EDGE.isdisjoint(seen):  # separators may be dropped anywhere
+            return out
         for m in WORD.finditer(seen):
             core = m.group().strip(AROUND)
             lead = len(m.group()) - len(m.group().lstrip(AROUND))
@@ -167,36 +172,48 @@ class Restorer:
                 edge.append(around)
                 between = 0
         runs = [1] * len(signs)
-        for k in range(1, len(signs)):
-            runs[k] = runs[k - 1] + 1 if signs[k] == signs[k - 1] else 1
-        for k in range(len(signs) - 2, -1, -1):
-            runs[k] = runs[k + 1] if signs[k] == signs[k + 1] else runs[k]
+        if any(map(operator.eq, signs, signs[1:])):
+            for k in range(1, len(signs)):
+                runs[k] = runs[k - 1] + 1 if signs[k] == signs[k - 1] else 1
+            for k in range(len(signs) - 2, -1, -1):
+                runs[k] = runs[k + 1] if signs[k] == signs[k + 1] else runs[k]
         # a state is the last two letters that were read, 0 for a border; a reading is a chain of letters from its end
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for k, c in enumerate(signs):
             if gaps[k]:
                 apart: dict[tuple[int, int], tuple[float, tuple | None]] = {}
                 for (a, b), (so_far, read) in best.items():
-                    if so_far + SKIP < apart.get((a, b), (math.inf,))[0]:
+                    old = apart.get((a, b))
+                    if old is None or so_far + SKIP < old[0]:
                         apart[a, b] = (so_far + SKIP, read)
                     if b:
                         total = so_far + cost[a][b][0]
-                        if total < apart.get((b, 0), (math.inf,))[0]:
+                        old = apart.get((b, 0))
+                        if old is None or total < old[0]:
                             apart[b, 0] = (total, (read, " "))
                 best = apart
-            own = [(c, 0.0)] if c in codes else [(x, SWAP) for x in SUBSTITUTES.get(c, "")]
             run = k > 0 and signs[k - 1] == c
-            drop = SKIP if edge[k] else (REPEAT if runs[k] > 2 else DOUBLE) if run else FOREIGN
             after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            i = codes.get(c)
+            if i and not run:  # a letter stands for itself
+                for (a, b), (so_far, read) in best.items():
+                    total = so_far + cost[a][b][i]
+                    old = after.get((b, i))
+                    if old is None or total < old[0]:
+                        after[b, i] = (total, (read, c))
+                best = after
+                continue
+            own = [(c, i, 0.0)] if i else [(x, codes[x], SWAP) for x in SUBSTITUTES.get(c, "")]
+            drop = SKIP if edge[k] else (REPEAT if runs[k] > 2 else DOUBLE) if run else FOREIGN
             for (a, b), (so_far, read) in best.items():
-                for x, price in own:
-                    i = codes[x]
+                for x, i, price in own:
                     total = so_far + price + cost[a][b][i]
-                    if total < after.get((b, i), (math.inf,))[0]:
+                    old = after.get((b, i))
+                    if old is None or total < old[0]:
                         after[b, i] = (total, (read, x))
-                if c not in codes or run:
-                    if so_far + drop < after.get((a, b), (math.inf,))[0]:
-                        after[a, b] = (so_far + drop, read)
+                old = after.get((a, b))
+                if old is None or so_far + drop < old[0]:
+                    after[a, b] = (so_far + drop, read)
             best = after
         read = min(((so_far + (cost[a][b][0] if b else 0.0), n, read) for n, ((a, b), (so_far, read)) in enumerate(best.items())))[2]
         out = []
@@ -261,6 +278,16 @@ def features(word: str) -> list[str]:
     return ["=" + word, *[word[:n] for n in BEGINNINGS if n <= len(word)]]
 
 
+class Features(dict):
+    """The features of a word, remembered."""
+
+    def __missing__(self, word: str) -> list[str]:
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[word] = out = features(word)
+        return out
+
+
 class WordScores(dict):
     """The greatest log-odds among a word's features, 0 if none counts.  heads: how words with a feature that counts begin."""
 
@@ -295,14 +322,13 @@ def learn(rows: DataFrame, labels: DataFrame, model: bytes, keep: list[str] | No
     known = with_labels(rows.select("doc_id", "text"), labels).select("text", "toxic")
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer, n = restorer_of(model), ({}, {})
+        restorer, n, known_features = restorer_of(model), (Counter(), Counter()), Features()
         told = lambda k: pd.DataFrame({"feature": pd.Series(list(n[k]), dtype=object), "toxic": k, "n": list(n[k].values())})
         for b in batches:
             for t, toxic in zip(b["text"], b["toxic"]):
                 own = n[1 if toxic == 1 else 0]
-                own[""] = own.get("", 0) + 1  # documents
-                for f in {f for w in restored_words(t, restorer) for f in features(w)}:
-                    own[f] = own.get(f, 0) + 1
+                own[""] += 1  # documents
+                own.update({f for w in restored_words(t, restorer) for f in known_features[w]})
                 if len(n[0]) + len(n[1]) > 400_000:
                     for k in (0, 1):
                         yield told(k)
