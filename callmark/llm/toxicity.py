@@ -60,7 +60,7 @@ WIDTHLESS = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]+")
 #: Pieces with blanks of any kind between; the last may have punctuation.
 SPACED = re.compile(r"(?<!\S)\S{1,%d}(?:\s+\S{1,%d})+(?=[\s.,;:!?]|$)" % (PIECE, PIECE))
 #: Words that a Python worker remembers in each of its memories; beyond it a memory starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 20_000
 #: Rows where this is 1 are held out.
 FOLD_SQL = "crc32(cast(doc_id as string)) % 3"
 
