@@ -207,14 +207,15 @@ def block_outcomes(blocked: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def compared(truth: DataFrame, query: DataFrame, reference: DataFrame, window: int = 50) -> DataFrame:
-    """chrom, bs, be, n_truth, n_query, outcome of the blocks that need a comparison; calls: chrom, pos, ref, alt, gt (het or homalt)."""
+    """chrom, bs, be, n_truth, n_query, outcome (match, mismatch, unknown) of the blocks that need a comparison; calls: chrom, pos, ref, alt, gt (het or homalt)."""
     keep = ["chrom", "pos", "ref", "alt", "gt"]
     both = truth.select(*keep, F.lit(0).alias("side")).unionByName(query.select(*keep, F.lit(1).alias("side"))).distinct()
     sides = both.groupBy(*keep).agg(F.collect_set("side").alias("_s"))
     single = sides.select(*keep, F.explode("_s").alias("side"), (F.size("_s") == 1).alias("mismatch"))
     blocked = superloci(single, window)
     numbers = F.when(F.col("gt") == "homalt", F.array(F.lit(1), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
-    return block_outcomes(written(blocked.select("chrom", "bs", "side", "pos", "ref", F.array("alt").alias("alts"), numbers.alias("gt"), F.lit(False).alias("phased"), "mismatch"), "blocked"), reference)
+    table = written(blocked.select("chrom", "bs", "side", "pos", "ref", F.array("alt").alias("alts"), numbers.alias("gt"), F.lit(False).alias("phased"), "mismatch"), "blocked")
+    return block_outcomes(table, reference).withColumn("outcome", F.regexp_replace("outcome", "^gt_", ""))
 
 
 def haplotype_rescued(rows: DataFrame, outcomes: DataFrame) -> DataFrame:
