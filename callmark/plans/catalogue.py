@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from callmark.functions import calls as C
 from callmark.operators import blocks, haplotypes, intervals, matching, normalise, somatic, strata
-from callmark.plans import germline
+from callmark.plans import germline, matching as block_matching
 from callmark.sources.adapter import VIEWS, calls, conf, query, read, reference, truth
 from callmark.streaming.sessions import sessions
 
@@ -564,5 +564,5 @@ def left_shift_alleles(spark, sf):
 
 
 QUERIES |= {"haplotype_outcomes": haplotype_outcomes, "left_shift_alleles": left_shift_alleles}
-QUERIES |= germline.QUERIES
-ORACLE |= germline.ORACLE | {"left_shift_alleles": germline.LEFT_SHIFT_SQL}
+QUERIES |= germline.QUERIES | block_matching.QUERIES
+ORACLE |= germline.ORACLE | block_matching.ORACLE | {"left_shift_alleles": germline.LEFT_SHIFT_SQL}
