@@ -1,16 +1,13 @@
 """Normalisation of alleles.  Steps are functions from DataFrame to DataFrame, put together with df.transform.
 
 An allele is (chrom, pos, ref, alt) with a 1-based pos; alt may be empty (a deletion), ref too (an insertion
-before pos).  Trimming, shifting and splitting are expressions; only alignment is a pandas function.
+before pos).  All steps are expressions; alignment stands in operators.alignment.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from callmark.operators.intervals import islands
 from callmark.sources.files import fetched
@@ -18,8 +15,6 @@ from callmark.sources.scratch import written
 
 #: Bases to the left of an allele that shifting may look at.
 FLANK = 256
-#: Scores of the global alignment.
-MATCH, MISMATCH, OPEN, EXTEND = 1, -4, 6, 1
 
 
 #: Powers of two by which a common prefix or suffix is measured, the greatest first.
@@ -223,69 +218,3 @@ def joined_at_position(alleles: DataFrame, sample: str = "gt") -> DataFrame:
     padded = lambda p: F.concat(p["alt"], F.substr(ref, F.length(p["ref"]) + 1, F.length(ref)))
     both = F.array(F.struct(ref.alias("ref"), F.array(padded(a), padded(b)).alias("alts"), F.lit("hetalt").alias("gt")))
     return groups.select("chrom", "pos", "class", F.explode(F.when(two, both).otherwise(F.transform("parts", one))).alias("_r")).select("chrom", "pos", "class", "_r.*")
-
-
-def align(ref: str, alt: str) -> tuple[int, list[tuple[str, int]]]:
-    """Global affine alignment: score and operations M, D (reference only), I (alternative only), from the left.
-
-    Among equal scores a match or mismatch is preferred, then a deletion, then an insertion, seen from the right.
-    """
-    n, m, low = len(ref), len(alt), -(10**9)
-    h, d, i = (np.full((n + 1, m + 1), low, dtype=np.int64) for _ in range(3))
-    h[0, 0] = 0
-    for a in range(1, n + 1):
-        d[a, 0] = h[a, 0] = -OPEN - EXTEND * a
-    for b in range(1, m + 1):
-        i[0, b] = h[0, b] = -OPEN - EXTEND * b
-    for a in range(1, n + 1):
-        for b in range(1, m + 1):
-            d[a, b] = max(h[a - 1, b] - OPEN - EXTEND, d[a - 1, b] - EXTEND)
-            i[a, b] = max(h[a, b - 1] - OPEN - EXTEND, i[a, b - 1] - EXTEND)
-            s = 0 if "N" in (ref[a - 1], alt[b - 1]) else MATCH if ref[a - 1] == alt[b - 1] else MISMATCH
-            h[a, b] = max(h[a - 1, b - 1] + s, d[a, b], i[a, b])
-    out, a, b, state = [], n, m, "M"
-    while a or b:
-        if state == "M":
-            if a and b:
-                s = 0 if "N" in (ref[a - 1], alt[b - 1]) else MATCH if ref[a - 1] == alt[b - 1] else MISMATCH
-                if h[a, b] == h[a - 1, b - 1] + s:
-                    out.append("M")
-                    a, b = a - 1, b - 1
-                    continue
-            state = "D" if a and h[a, b] == d[a, b] else "I"
-        elif state == "D":
-            out.append("D")
-            state = "M" if d[a, b] == h[a - 1, b] - OPEN - EXTEND else "D"
-            a -= 1
-        else:
-            out.append("I")
-            state = "M" if i[a, b] == h[a, b - 1] - OPEN - EXTEND else "I"
-            b -= 1
-    runs: list[tuple[str, int]] = []
-    for o in reversed(out):
-        runs = [*runs[:-1], (o, runs[-1][1] + 1)] if runs and runs[-1][0] == o else [*runs, (o, 1)]
-    return int(h[n, m]), runs
-
-
-_ALIGNED = T.StructType([T.StructField(n, T.StringType() if n == "cigar" else T.IntegerType()) for n in ("score", "cigar", "snp", "ins", "del", "ti", "tv")])
-
-
-@F.pandas_udf(_ALIGNED)
-def aligned(ref: pd.Series, alt: pd.Series) -> pd.DataFrame:
-    """Alignment score, operations, and the bases that differ, are inserted and are deleted."""
-    rows = []
-    for r, a in zip(ref, alt):
-        score, runs = align(r, a)
-        snp = ins = dele = ti = x = y = 0
-        for op, k in runs:
-            if op == "M":
-                pairs = [(p, q) for p, q in zip(r[x : x + k], a[y : y + k]) if p != q]
-                snp += len(pairs)
-                ti += sum({p, q} in ({"A", "G"}, {"C", "T"}) for p, q in pairs)
-                x, y = x + k, y + k
-            elif op == "D":
-                dele, x = dele + k, x + k
-            else:
-                ins, y = ins + k, y + k
-        rows.append((score, "".join(f"{k}{op}" for op, k in runs), snp, ins, dele, ti, snp - ti))
-    return pd.DataFrame(rows, columns=["score", "cigar", "snp", "ins", "del", "ti", "tv"])

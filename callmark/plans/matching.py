@@ -1,13 +1,14 @@
-"""Queries over the comparison of alleles in blocks, with their SQL."""
+"""Queries over the comparison of alleles in blocks and over realigned alleles, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callmark.operators import allele_blocks
+from callmark.operators import alignment, allele_blocks
 from callmark.operators.allele_blocks import APART, GAP, MOST
 from callmark.sources.adapter import VIEWS, genome, query, sited_calls, truth
+from callmark.sources.files import fetched
 
 QUERIES, ORACLE = {}, {}
 
@@ -70,3 +71,28 @@ def block_haplotype_decisions(spark, sf):
     rows = allele_blocks.compared(alleles, genome(spark, sf), "haplotypes")
     snp = (F.length("ref") == 1) & (F.length("alt") == 1)
     return rows.groupBy("chrom", "side", F.when(snp, "SNP").otherwise("INDEL").alias("type"), "decision").agg(F.count("*").alias("alleles"), F.min("proven").alias("proven"))
+
+
+def complex_alleles(spark, sf) -> DataFrame:
+    """chrom, pos, ref, alt: the calls of the query that lie within 110 bases as one allele; of calls that overlap the first."""
+    own = sited_calls(spark, sf, 1).select("chrom", "pos", "ref", F.get("alts", F.lit(0)).alias("alt"), F.floor(F.col("pos") / 110).alias("_near")).distinct()
+    calls = F.array_sort(F.collect_list(F.struct("pos", "ref", "alt"))).alias("_calls")  # at most a few to each of 110 positions
+    sites = own.groupBy("chrom", "_near").agg(calls, F.min("pos").alias("pos"), F.max(F.col("pos") + F.length("ref")).alias("_stop"))
+    sites = fetched(sites.withColumn("_from", F.col("pos") - 1).withColumn("_to", F.col("_stop") - 2), genome(spark, sf), "_from", "_to", "ref")
+    start = F.struct(F.lit("").alias("made"), F.col("pos").alias("here"))
+
+    def add(a, c):
+        kept = F.substr("ref", (a["here"] - F.col("pos") + 1).cast("int"), (c["pos"] - a["here"]).cast("int"))
+        longer = F.struct(F.concat(a["made"], kept, c["alt"]).alias("made"), (c["pos"] + F.length(c["ref"])).alias("here"))
+        return F.when(c["pos"] < a["here"], a).otherwise(longer)
+
+    rest = lambda a: F.concat(a["made"], F.substr("ref", (a["here"] - F.col("pos") + 1).cast("int"), F.length("ref")))
+    return sites.select("chrom", "pos", "ref", F.aggregate("_calls", start, add, rest).alias("alt"))
+
+
+@query_of()
+def realigned_primitives(spark, sf):
+    """Complex alleles taken apart by alignment: edits and bases by chromosome and kind.  No SQL: affine alignment."""
+    edits = alignment.realigned(complex_alleles(spark, sf))
+    kind = F.when(F.length("ref") == 0, "insertion").when(F.length("alt") == 0, "deletion").otherwise("substitution")
+    return edits.groupBy("chrom", kind.alias("kind")).agg(F.count("*").alias("edits"), F.sum(F.greatest(F.length("ref"), F.length("alt"))).alias("bases"))

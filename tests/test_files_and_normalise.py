@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callmark.functions import calls as C
-from callmark.operators import haplotypes, normalise
+from callmark.operators import alignment, haplotypes, normalise
 from callmark.sources import files
 
 VCF = """##fileformat=VCFv4.1
@@ -129,9 +129,9 @@ def test_records(spark):
 
 
 def test_alignment(spark):
-    assert normalise.align("ACGT", "ACGT") == (4, [("M", 4)])
-    assert normalise.align("ACGTTT", "ACTTT")[1] == [("M", 2), ("D", 1), ("M", 3)]
-    r = spark.createDataFrame([("AAAA", "AAGA"), ("ACG", "ACGTT")], "ref string, alt string").select(normalise.aligned("ref", "alt").alias("x")).select("x.*").collect()
+    assert alignment.align("ACGT", "ACGT") == (4, [("M", 4)])
+    assert alignment.align("ACGTTT", "ACTTT")[1] == [("M", 2), ("D", 1), ("M", 3)]
+    r = spark.createDataFrame([("AAAA", "AAGA"), ("ACG", "ACGTT")], "ref string, alt string").select(alignment.aligned("ref", "alt").alias("x")).select("x.*").collect()
     assert (r[0]["snp"], r[0]["ti"], r[0]["cigar"]) == (1, 1, "4M") and (r[1]["ins"], r[1]["del"]) == (2, 0)
 
 
