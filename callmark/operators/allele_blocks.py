@@ -23,6 +23,8 @@ GAP, MOST, APART, DISTANCE = 100_000, 1024, 50, 30
 ROW = ["chrom", "pos", "ref", "alt", "side"]
 #: Positions that are summed first when block sizes are added up along a chrom.
 STRETCH = 1 << 20
+#: Parts in which equal rows are numbered.
+PARTS = 64
 
 
 def _before(table: DataFrame, keys: list[str], at: str, value: str, out: str) -> DataFrame:
@@ -58,7 +60,8 @@ def in_blocks(alleles: DataFrame, gap: int = GAP, most: int = MOST, apart: int =
 def by_alleles(blocked: DataFrame, reference: DataFrame | None = None) -> DataFrame:
     """The n-th copy of an allele in the truth matches the n-th in the query, after both are shifted left (with a reference).
 
-    Only numbers are compared: of a samples' c equal copies those up to the other's number match.
+    Only numbers are compared: of a sample's equal copies as many match as the other has, the leftmost spellings first; rows with
+    equal alleles are interchangeable.  `blocked` is to be a written table, as compared() hands it on.
     """
     kinds = blocked.select("chrom", "pos", "ref", "alt").distinct()
     own = ["chrom", "pos", "ref", "alt"]
@@ -67,10 +70,23 @@ def by_alleles(blocked: DataFrame, reference: DataFrame | None = None) -> DataFr
     else:
         shifted = fully_left_shifted(kinds.select(*own, F.col("pos").alias("_pos0"), F.col("ref").alias("_ref0"), F.col("alt").alias("_alt0")), reference)
         keyed = shifted.select("chrom", F.struct("pos", "ref", "alt").alias("_key"), F.col("_pos0").alias("pos"), F.col("_ref0").alias("ref"), F.col("_alt0").alias("alt"))
-    rows = blocked.join(keyed, own)
-    both = rows.groupBy("chrom", "_key").agg(F.count(F.when(F.col("side") == 0, 1)).alias("_t"), F.count(F.when(F.col("side") == 1, 1)).alias("_q"))
-    number = F.row_number().over(Window.partitionBy("chrom", "_key", "side").orderBy("pos", "ref", "alt"))
-    return rows.withColumn("_k", number).join(both, ["chrom", "_key"]).withColumn("matched", F.col("_k") <= F.least("_t", "_q")).drop("_k", "_t", "_q", "_key")
+    kind = ["chrom", "pos", "ref", "alt", "side"]
+    counts = blocked.groupBy(*kind).agg(F.count("*").alias("_n")).join(keyed, own)
+    of_key = Window.partitionBy("chrom", "_key")
+    total = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("_n"))).over(of_key), F.lit(0))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("chrom", "_key", "side").orderBy("pos", "ref", "alt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = counts.select(*kind, "_n", F.greatest(F.lit(0), F.least(F.col("_n"), F.least(total(0), total(1)) - before)).alias("_m"))
+    # a kind of which all rows match, or none, needs no numbers; others are numbered by parts, so that no allele is one task
+    rows = blocked.withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(PARTS)))
+    joined = rows.join(taken, kind)
+    told = joined.where("_m = 0 or _m = _n").withColumn("matched", F.col("_m") > 0)
+    some = joined.where("_m > 0 and _m < _n")
+    parts = some.groupBy(*kind, "_part").agg(F.count("*").alias("_c"))
+    parts = parts.withColumn("_earlier", F.coalesce(F.sum("_c").over(Window.partitionBy(*kind).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    number = F.row_number().over(Window.partitionBy(*kind, "_part").orderBy("_row"))
+    numbered = some.withColumn("_k", number).join(parts, [*kind, "_part"]).withColumn("matched", F.col("_k") + F.col("_earlier") <= F.col("_m"))
+    columns = [*blocked.columns, "matched"]
+    return told.select(*columns).unionByName(numbered.select(*columns))
 
 
 def by_distance(blocked: DataFrame, reference: DataFrame | None = None, distance: int = DISTANCE) -> DataFrame:

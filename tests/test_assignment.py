@@ -179,3 +179,16 @@ def test_empty(spark):
     reference = spark.createDataFrame([("q", 0, "ACGT")], "chrom string, at long, seq string")
     for m in allele_blocks.MATCHERS:
         assert allele_blocks.compared(frame, reference, m).collect() == []
+
+
+def test_frequent_alleles_are_counted_copy_by_copy(spark):
+    """300 copies against 170, and two spellings of one allele of which the left one matches first."""
+    contig = "AAACCCAAACCCAAACCC" + "GGGTTT" * 30
+    reference = spark.createDataFrame([("q", 0, contig)], "chrom string, at long, seq string")
+    rows = [("q", 100, "T", "C", 0)] * 300 + [("q", 100, "T", "C", 1)] * 170 + [("q", 6, "C", "CAAACCC", 0)] * 2 + [("q", 12, "C", "CAAACCC", 0)] * 2 + [("q", 6, "C", "CAAACCC", 1)] * 3
+    frame = spark.createDataFrame(rows, "chrom string, pos long, ref string, alt string, side int").repartition(4)
+    got = {}
+    for r in allele_blocks.compared(frame, reference, "alleles").collect():
+        key = (r["pos"], r["side"], r["decision"])
+        got[key] = got.get(key, 0) + 1
+    assert got == {(100, 0, "TP"): 170, (100, 0, "FN"): 130, (100, 1, "TP"): 170, (6, 0, "TP"): 2, (12, 0, "TP"): 1, (12, 0, "FN"): 1, (6, 1, "TP"): 3}
