@@ -19,8 +19,8 @@ def test_contigs_base_by_base(spark):
         rows = make(spark, SF, chunk=777).where("chrom in ('chr1', 'chr22')").orderBy("chrom", "at").collect()
         for chrom, k in (("chr1", 1), ("chr22", 22)):
             whole = "".join(r["seq"] for r in rows if r["chrom"] == chrom)
-            assert whole[:5000] == "".join(base(p, k) for p in range(5000))
-            assert whole[-3000:] == "".join(base(p, k) for p in range(len(whole) - 3000, len(whole)))
+            assert len(whole) > 2000 and whole[:5000] == "".join(base(p, k) for p in range(min(5000, len(whole))))
+            assert whole[-2000:] == "".join(base(p, k) for p in range(len(whole) - 2000, len(whole)))
             assert all(r["at"] % 777 == 0 and len(r["seq"]) == min(777, len(whole) - r["at"]) for r in rows if r["chrom"] == chrom)
 
 
