@@ -21,11 +21,16 @@ FLANK = 256
 STEPS = [1 << i for i in range(26, -1, -1)]
 
 
-def _common(a: Column, b: Column, limit: Column, end) -> Column:
-    """Length of the common prefix (end: F.left) or suffix (F.right) of two strings, at most `limit`: by halves, so that a
-    string is compared as often as its length has bits."""
+def _common(a: Column, b: Column, limit: Column, end, most: int = STEPS[0]) -> Column:
+    """Length of the common prefix (end: F.left) or suffix (F.right) of two strings, at most `limit` (which is at most `most`): by halves,
+    so that a string is compared as often as `most` has bits, and not at all where the first letters differ.
+
+    a, b and limit are evaluated at each step, so they should be columns where they are not cheap.
+    """
+    one = F.lit(1)
     longer = lambda n, step: (n + step <= limit) & (end(a, n + step) == end(b, n + step))
-    return F.aggregate(F.array(*[F.lit(x) for x in STEPS]), F.lit(0), lambda n, step: F.when(longer(n, step), n + step).otherwise(n))
+    halves = F.aggregate(F.array(*[F.lit(x) for x in STEPS if x <= most]), F.lit(0), lambda n, step: F.when(longer(n, step), n + step).otherwise(n))
+    return F.when((limit >= 1) & (end(a, one) == end(b, one)), halves).otherwise(0)
 
 
 def _cut(alleles: DataFrame, padding: int, left: bool) -> DataFrame:
@@ -45,22 +50,23 @@ def trimmed(alleles: DataFrame, padding: int = 0, prefix_first: bool = False) ->
 def _rolled(alleles: DataFrame, k: Column, towards_left: bool) -> DataFrame:
     """Pure insertions and deletions moved by k bases, along which they may roll: their bases turn by k places."""
     seq, m = F.concat("ref", "alt"), F.length("ref") + F.length("alt")
-    turn = F.when(m > 0, k % m).otherwise(0)
+    turn = F.when(m > 0, F.col("_k") % m).otherwise(0)
     turned = F.concat(F.right(seq, turn), F.left(seq, m - turn)) if towards_left else F.concat(F.right(seq, m - turn), F.left(seq, turn))
-    out = alleles.withColumn("_y", F.when(k > 0, turned).otherwise(seq)).withColumn("_k", k)
+    out = alleles.withColumn("_k", k).withColumn("_y", F.when(F.col("_k") > 0, turned).otherwise(seq))
     is_ins, is_del = (F.length("ref") == 0) & (F.length("alt") > 0), (F.length("alt") == 0) & (F.length("ref") > 0)
     out = out.withColumn("_ref", F.when(is_del, F.col("_y")).otherwise(F.col("ref"))).withColumn("alt", F.when(is_ins, F.col("_y")).otherwise(F.col("alt")))
     return out.withColumn("ref", F.col("_ref")).withColumn("pos", F.col("pos") + F.col("_k") * (-1 if towards_left else 1)).drop("_y", "_k", "_ref")
 
 
-def _room(alleles: DataFrame, bases: str, towards_left: bool) -> Column:
-    """Bases by which pure insertions and deletions roll along the neighbouring reference bases, never over N; 0 for others."""
+def _with_room(alleles: DataFrame, flank: int, towards_left: bool) -> DataFrame:
+    """alleles with _room, the bases (at most `flank`) by which pure insertions and deletions roll along the neighbouring reference bases
+    (_bases, dropped here), never over N; 0 for others."""
     pure = (F.length("ref") == 0) != (F.length("alt") == 0)
     # rolling over i bases asks that the i nearest bases are those that lie a length of the allele further on; N equals nothing
-    seq, near, same = F.concat("ref", "alt"), F.translate(bases, "N", "#"), F.translate(bases, "N", "%")
-    if towards_left:
-        return F.when(pure, _common(near, F.concat(same, seq), F.length(near), F.right)).otherwise(0)
-    return F.when(pure, _common(near, F.concat(seq, same), F.length(near), F.left)).otherwise(0)
+    seq, same = F.concat("ref", "alt"), F.translate("_bases", "N", "%")
+    own = alleles.withColumns({"_near": F.translate("_bases", "N", "#"), "_on": F.concat(same, seq) if towards_left else F.concat(seq, same)})
+    room = _common(F.col("_near"), F.col("_on"), F.length("_near"), F.right if towards_left else F.left, flank)
+    return own.withColumn("_room", F.when(pure, room).otherwise(0)).drop("_bases", "_near", "_on")
 
 
 def _near(alleles: DataFrame, reference: DataFrame, flank: int, towards_left: bool) -> DataFrame:
@@ -75,17 +81,17 @@ def _near(alleles: DataFrame, reference: DataFrame, flank: int, towards_left: bo
 
 def left_shifted(alleles: DataFrame, reference: DataFrame, flank: int = FLANK, not_before: str | None = None) -> DataFrame:
     """Trimmed alleles moved as far left as the reference allows, by at most `flank` bases and not before that column's position."""
-    near = _near(trimmed(alleles), reference, flank, True)
-    room = _room(near, "_bases", True)
+    near = _with_room(_near(trimmed(alleles), reference, flank, True), flank, True)
+    room = F.col("_room")
     if not_before is not None:
         room = F.least(room, F.greatest((F.col("pos") - F.col(not_before)).cast("int"), F.lit(0)))
-    return _rolled(near, room, True).drop("_bases")
+    return _rolled(near, room, True).drop("_room")
 
 
 def right_shifted(alleles: DataFrame, reference: DataFrame, flank: int = FLANK) -> DataFrame:
     """Trimmed alleles moved as far right as the reference allows, by at most `flank` bases."""
-    near = _near(trimmed(alleles), reference, flank, False)
-    return _rolled(near, _room(near, "_bases", False), False).drop("_bases")
+    near = _with_room(_near(trimmed(alleles), reference, flank, False), flank, False)
+    return _rolled(near, F.col("_room"), False).drop("_room")
 
 
 def _fully(alleles: DataFrame, reference: DataFrame, flank: int, shift) -> DataFrame:
