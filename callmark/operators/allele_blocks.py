@@ -45,16 +45,22 @@ def in_blocks(alleles: DataFrame, gap: int = GAP, most: int = MOST, apart: int =
     """
     rows = alleles.dropna(subset=ROW)
     size = rows.groupBy("chrom", "pos").agg(F.count("*").alias("_n"), F.max(F.col("pos") + F.length("ref") - 1).alias("_be"))
-    runs = islands(size, ["chrom"], "pos", "_be", apart).withColumnRenamed("island_start", "_run")
+    return rows.join(_blocks(size, gap, most, apart).select("chrom", "pos", "block"), ["chrom", "pos"])
+
+
+def _blocks(size: DataFrame, gap: int, most: int, apart: int) -> DataFrame:
+    """size: chrom, pos, _n (alleles there), _be (their greatest end), other columns stay; with `block`."""
+    others = [c for c in size.columns if c not in ("chrom", "pos", "_n", "_be")]
+    runs = written(islands(size, ["chrom"], "pos", "_be", apart).withColumnRenamed("island_start", "_run"), "runs")
     of_run = runs.groupBy("chrom", "_run").agg(F.sum("_n").alias("_of_run"))
     atom = F.when(F.col("_of_run") > most, F.col("pos")).otherwise(F.col("_run"))
-    sites = written(runs.join(of_run, ["chrom", "_run"]).select("chrom", "pos", "_n", "_be", atom.alias("_atom")), "sites")
+    sites = written(runs.join(of_run, ["chrom", "_run"]).select("chrom", "pos", "_n", "_be", atom.alias("_atom"), *others), "sites")
     atoms = sites.groupBy("chrom", "_atom").agg(F.sum("_n").alias("_n"), F.max("_be").alias("_be"))
     far = islands(atoms, ["chrom"], "_atom", "_be", gap).withColumnRenamed("island_start", "_far")
-    counted = _before(far, ["chrom", "_far"], "_atom", "_n", "_at").withColumn("_k", F.floor(F.col("_at") / most))
+    counted = written(_before(written(far, "far"), ["chrom", "_far"], "_atom", "_n", "_at").withColumn("_k", F.floor(F.col("_at") / most)), "counted")
     first = counted.groupBy("chrom", "_far", "_k").agg(F.min("_atom").alias("block"))
     table = counted.join(first, ["chrom", "_far", "_k"]).select("chrom", "_atom", "block")
-    return rows.join(sites.join(table, ["chrom", "_atom"]).select("chrom", "pos", "block"), ["chrom", "pos"])
+    return sites.join(table, ["chrom", "_atom"]).drop("_atom")
 
 
 def by_alleles(blocked: DataFrame, reference: DataFrame | None = None) -> DataFrame:
@@ -97,7 +103,7 @@ def by_distance(blocked: DataFrame, reference: DataFrame | None = None, distance
     # the bases that an allele touches; an insertion touches those on both sides of it, which an indel record begins before
     lo = F.when(F.length("ref") < F.length("alt"), F.col("pos") + F.length("ref") - 1).otherwise(F.col("pos"))
     spans = blocked.select("*", lo.alias("_lo"), F.greatest(F.col("pos") + F.length("ref") - 1, lo).alias("_hi"))
-    kinds = spans.select("chrom", "side", "_lo", "_hi").distinct()
+    kinds = written(spans.select("chrom", "side", "_lo", "_hi").distinct(), "reaches")
     reach = merged(kinds.select("chrom", (1 - F.col("side")).alias("side"), (F.col("_lo") - distance).alias("start"), (F.col("_hi") + distance).alias("stop")), ["chrom", "side"])
     width = 1024
     bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
@@ -163,6 +169,23 @@ def block_scores(rows: DataFrame) -> DataFrame:
     return rows.groupBy("chrom", "block").agg(F.count("*").alias("alleles"), F.count(F.when(F.col("matched"), 1)).alias("matched")).orderBy("chrom", "block")
 
 
+def block_counts(alleles: DataFrame, matcher: str = "alleles", gap: int = GAP, most: int = MOST, apart: int = APART, **options) -> DataFrame:
+    """block_scores(compared(alleles, None, matcher)) for rows with `copies`, a number of equal alleles: copies are counted, never
+    listed, and what is put into blocks is a row for each position.  Only for matchers that need no reference."""
+    n = F.sum("copies")
+    if matcher == "alleles":  # of equal alleles as many match on either side as the other has
+        of = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("copies"))), F.lit(0))
+        kinds = alleles.dropna(subset=ROW).groupBy("chrom", "pos", "ref", "alt").agg(n.alias("copies"), (2 * F.least(of(0), of(1))).alias("_m"))
+    elif matcher == "distance":
+        rows = written(alleles.dropna(subset=ROW).groupBy("chrom", "pos", F.length("ref").alias("_r"), (F.length("ref") < F.length("alt")).alias("_ins"), "side").agg(n.alias("copies")), "kinds")
+        spelled = rows.select("chrom", "pos", F.repeat(F.lit("N"), F.col("_r")).alias("ref"), F.repeat(F.lit("N"), F.when(F.col("_ins"), F.col("_r") + 1).otherwise(0)).alias("alt"), "side", "copies")
+        kinds = by_distance(spelled, **options).select("chrom", "pos", "ref", "copies", F.when(F.col("matched"), F.col("copies")).otherwise(0).alias("_m"))
+    else:
+        raise ValueError(f"{matcher} does not go by counts")
+    size = kinds.groupBy("chrom", "pos").agg(F.sum("copies").alias("_n"), F.max(F.col("pos") + F.length("ref") - 1).alias("_be"), F.sum("_m").alias("_m"))
+    return _blocks(size, gap, most, apart).groupBy("chrom", "block").agg(F.sum("_n").alias("alleles"), F.sum("_m").alias("matched")).orderBy("chrom", "block")
+
+
 def copies_of(calls: DataFrame, side: int, sample: int = 0) -> DataFrame:
     """A row for each copy of an allele that a sample of read_calls() rows has."""
     gt = F.get(F.col("calls"), F.lit(sample))["gt"]

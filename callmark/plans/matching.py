@@ -24,7 +24,7 @@ def query_of(sql: str | None = None):
 
 
 def _copies(spark, sf) -> DataFrame:
-    one = lambda side, n: side(spark, sf).select("chrom", "pos", "ref", "alt", F.explode(F.array_repeat(F.lit(n), F.when(F.col("gt") == "homalt", 2).otherwise(1))).alias("side"))
+    one = lambda side, n: side(spark, sf).select("chrom", "pos", "ref", "alt", F.lit(n).alias("side"), F.when(F.col("gt") == "homalt", 2).otherwise(1).alias("copies"))
     return one(truth, 0).unionByName(one(query, 1))
 
 
@@ -51,7 +51,7 @@ BLOCKS = f"""
 SELECT chrom, block, CAST(sum(n) AS BIGINT) AS alleles, CAST(sum(m) AS BIGINT) AS matched FROM kinds GROUP BY ALL""")
 def block_allele_scores(spark, sf):
     """Blocks with their copies of alleles, and how many have an equal one in the other sample."""
-    return allele_blocks.block_scores(allele_blocks.compared(_copies(spark, sf), None, "alleles"))
+    return allele_blocks.block_counts(_copies(spark, sf), "alleles")
 
 
 @query_of(BLOCKS + """
@@ -61,7 +61,7 @@ def block_allele_scores(spark, sf):
 SELECT chrom, block, count(*) AS alleles, count(near.lo) AS matched FROM spans LEFT JOIN near USING (chrom, side, lo, hi) GROUP BY ALL""")
 def block_distance_scores(spark, sf):
     """Blocks with their copies of alleles, and how many have one of the other sample within a base (the calls lie close)."""
-    return allele_blocks.block_scores(allele_blocks.compared(_copies(spark, sf), None, "distance", distance=1))
+    return allele_blocks.block_counts(_copies(spark, sf), "distance", distance=1)
 
 
 @query_of()
