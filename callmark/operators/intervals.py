@@ -53,6 +53,14 @@ def overlapping(a: DataFrame, b: DataFrame, start: str = "start", stop: str = "s
     return left.join(right, on & (left["_bin"] == first)).drop("_bin")
 
 
+def touched(a: DataFrame, b: DataFrame, keys: list[str], out: str, start: str = "start", stop: str = "stop", width: int = BIN) -> DataFrame:
+    """The distinct keys (chrom among them) of a with `out`: whether an interval of b overlaps one of their rows.  a is read once, no pairs are kept."""
+    right = b.select(F.col("chrom"), F.col("start").alias("_b_start"), F.col("stop").alias("_b_stop"), _bins(F.col("start"), F.col("stop"), width).alias("_bin"))
+    left = a.select(*keys, F.col(start).alias("_a_start"), F.col(stop).alias("_a_stop"), _bins(F.col(start), F.col(stop), width).alias("_bin"))
+    hit = F.coalesce((F.col("_a_start") <= F.col("_b_stop")) & (F.col("_a_stop") >= F.col("_b_start")), F.lit(False))
+    return left.join(right, ["chrom", "_bin"], "left").groupBy(*keys).agg(F.max(hit).alias(out))
+
+
 def with_labels(calls: DataFrame, regions: DataFrame, id_cols: list[str], start: str = "start", stop: str = "stop") -> DataFrame:
     """calls with `labels`, the sorted distinct labels that they overlap (empty if none)."""
     hits = overlapping(calls, regions, start, stop).groupBy(*id_cols).agg(F.array_sort(F.collect_set("b_label")).alias("labels"))

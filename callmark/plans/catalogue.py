@@ -309,8 +309,11 @@ def balanced_chunks(spark, sf):
 , f AS (SELECT chrom, bs, EXISTS (SELECT 1 FROM conf c WHERE c.chrom = blocked.chrom AND c.start <= pos + length(ref) - 1 AND c.stop >= pos) AS inside FROM blocked)
 SELECT chrom, bs, bool_or(inside) AND NOT bool_and(inside) AS ts_boundary, bool_and(inside) AS ts_contained FROM f GROUP BY chrom, bs""")
 def superlocus_flags(spark, sf):
-    rows = blocks.superloci(assessed(spark, sf))
-    return blocks.confidence_flags(rows.withColumn("conf", F.coalesce("inside", F.lit(False))))
+    """Blocks of the calls of both samples; how often a site is called and what matches there changes no flag."""
+    site = ["chrom", "pos", "ref"]
+    both = truth(spark, sf).select(*site).unionByName(query(spark, sf).select(*site))
+    both = both.withColumn("start", F.col("pos")).withColumn("stop", F.col("pos") + F.length("ref") - 1)
+    return blocks.confidence_flags(blocks.superloci(intervals.touched(both, conf(spark, sf), site, "conf")))
 
 
 @query_of(ONE + BLOCKS.replace("SOURCE", "m") + """
