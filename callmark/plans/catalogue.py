@@ -11,6 +11,7 @@ from callmark.functions import calls as C
 from callmark.operators import blocks, haplotypes, intervals, matching, normalise, somatic, strata
 from callmark.plans import germline, matching as block_matching
 from callmark.sources.adapter import VIEWS, calls, conf, query, read, reference, truth
+from callmark.sources.scratch import written
 from callmark.streaming.sessions import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -369,10 +370,11 @@ OBS = ONE + """
 
 
 def observations(spark, sf) -> DataFrame:
-    rows = matched(spark, sf)
-    of_truth = rows.where("bd_truth is not null").select(F.col("bd_truth").alias("decision"), F.when(F.col("bd_truth") == "TP", F.col("qq_query")).otherwise(F.coalesce("qq_query", F.lit(0.0))).alias("level"))
-    of_query = rows.where("bd_query is not null").select(F.when(F.col("bd_query") == "TP", "TP2").otherwise("FP").alias("decision"), F.col("qq_query").alias("level"))
-    return of_truth.unionByName(of_query).withColumn("n", F.lit(1)).withColumn("filter", F.lit("ALL"))
+    """What a call pair says of truth and of query, as rows: the pairs are matched once."""
+    of_truth = F.struct(F.col("bd_truth").alias("decision"), F.when(F.col("bd_truth") == "TP", F.col("qq_query")).otherwise(F.coalesce("qq_query", F.lit(0.0))).alias("level"))
+    of_query = F.struct(F.when(F.col("bd_query") == "TP", "TP2").otherwise("FP").alias("decision"), F.col("qq_query").alias("level"))
+    both = F.array_compact(F.array(F.when(F.col("bd_truth").isNotNull(), of_truth), F.when(F.col("bd_query").isNotNull(), of_query)))
+    return matched(spark, sf).select(F.inline(both)).withColumn("n", F.lit(1)).withColumn("filter", F.lit("ALL"))
 
 
 ROC = OBS + """
@@ -391,7 +393,8 @@ def roc_cumulative(spark, sf):
 , kept(level) AS (SELECT min(level) FROM curve UNION ALL SELECT (SELECT min(level) FROM curve WHERE abs(level - kept.level) > 2.5 AND level > kept.level) FROM kept WHERE kept.level IS NOT NULL)
 SELECT * FROM curve WHERE level IN (SELECT level FROM kept)""")
 def roc_thinned(spark, sf):
-    return strata.thinned(strata.cumulative(observations(spark, sf), ["filter"]), ["filter"], 2.5)
+    curve = written(strata.cumulative(observations(spark, sf), ["filter"]), "curve")  # a row per level, read twice
+    return strata.thinned(curve, ["filter"], 2.5)
 
 
 ORACLE["roc_thinned"] = ORACLE["roc_thinned"].replace("WITH calls", "WITH RECURSIVE calls", 1)
