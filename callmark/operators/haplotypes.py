@@ -188,7 +188,7 @@ def asked_blocks(blocked: DataFrame) -> DataFrame:
 
 def block_outcomes(blocked: DataFrame, reference: DataFrame) -> DataFrame:
     """blocked: as asked_blocks() has it, with gt as allele numbers and phased.  chrom, bs, be, n_truth, n_query, outcome."""
-    asked = asked_blocks(blocked)
+    asked = written(asked_blocks(blocked), "asked")  # read for the long ones, for the bases and for the calls
     size = F.col("be") - F.col("bs") + 1
     long = asked.where(size > MOST_BASES).withColumn("outcome", F.lit("unknown"))
     short = asked.where(size <= MOST_BASES)
@@ -209,12 +209,13 @@ def block_outcomes(blocked: DataFrame, reference: DataFrame) -> DataFrame:
 def compared(truth: DataFrame, query: DataFrame, reference: DataFrame, window: int = 50) -> DataFrame:
     """chrom, bs, be, n_truth, n_query, outcome (match, mismatch, unknown) of the blocks that need a comparison; calls: chrom, pos, ref, alt, gt (het or homalt)."""
     keep = ["chrom", "pos", "ref", "alt", "gt"]
-    both = truth.select(*keep, F.lit(0).alias("side")).unionByName(query.select(*keep, F.lit(1).alias("side"))).distinct()
-    sides = both.groupBy(*keep).agg(F.collect_set("side").alias("_s"))
-    single = sides.select(*keep, F.explode("_s").alias("side"), (F.size("_s") == 1).alias("mismatch"))
+    both = truth.select(*keep, F.lit(1).alias("_side")).unionByName(query.select(*keep, F.lit(2).alias("_side")))
+    # a call of both samples is one row until the blocks are known
+    single = both.groupBy(*keep).agg(F.bit_or("_side").alias("_sides"))
     blocked = superloci(single, window)
     numbers = F.when(F.col("gt") == "homalt", F.array(F.lit(1), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
-    table = written(blocked.select("chrom", "bs", "side", "pos", "ref", F.array("alt").alias("alts"), numbers.alias("gt"), F.lit(False).alias("phased"), "mismatch"), "blocked")
+    sides = F.when(F.col("_sides") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.col("_sides") - 1))
+    table = written(blocked.select("chrom", "bs", F.explode(sides).alias("side"), "pos", "ref", F.array("alt").alias("alts"), numbers.alias("gt"), F.lit(False).alias("phased"), (F.col("_sides") < 3).alias("mismatch")), "blocked")
     return block_outcomes(table, reference).withColumn("outcome", F.regexp_replace("outcome", "^gt_", ""))
 
 

@@ -147,6 +147,15 @@ def test_haplotypes(spark):
     assert haplotypes.sequence("ACGT", 1, [(1, "AC", ""), (2, "C", "G")]) is None
 
 
+def test_a_call_of_both_samples_is_put_into_blocks_once(spark, monkeypatch):
+    seen, whole = [], haplotypes.superloci
+    monkeypatch.setattr(haplotypes, "superloci", lambda rows, window: seen.append(rows.count()) or whole(rows, window))
+    of = lambda rows: alleles(spark, rows).withColumn("gt", F.lit("homalt"))
+    both = [(12, "T", "G")]
+    got = haplotypes.compared(of([(4, "A", ""), *both, *both]), of([(8, "A", ""), *both]), reference(spark, "GGCAAAAATTCACACAGTTTTGGGGCCCC"))
+    assert [tuple(r)[2:] for r in got.collect()] == [(12, 2, 2, "match")] and seen == [3]
+
+
 def test_haplotype_pairs_against_brute_force():
     rng = random.Random(1)
     seq = "".join(rng.choice("ACGT") for _ in range(30))
