@@ -1,11 +1,12 @@
 """Operator 1: exact top-k search among binary codes by incremental multi-index hashing.
 
-Codes are cut into segments of about the logarithm of the number of codes, each of which is an index from the
-segment's value to the codes that have it.  Radius 0 looks up a query's own values in all segments; then the
+Codes are cut into segments of about the logarithm of an eighth of the number of codes, each of which is an index from
+the segment's value to the codes that have it.  Radius 0 looks up a query's own values in all segments; then the
 radius grows one segment after the other: a step looks up all values at distance r in one segment.  When of m
 segments j have been searched up to r and the others up to r - 1, all codes within m r + j - 1 have been seen
 (one that is farther off in each segment differs in more bits).  Hits are verified by the whole Hamming
-distance; a query is done when its k-th verified distance lies within that radius, and the others go on.
+distance, and those beyond the k-th that is known are dropped within the join; a query is done when its k-th
+verified distance lies within that radius, and the others go on.
 
 Equal codes are one entry of the index, with their number and their k least ids, so that copies cost nothing.
 Ties are broken by the least id.  Rows without a vector or an id are neither found nor asked for; codes have as
@@ -26,6 +27,8 @@ from callmark.llm.common import materialise, table
 WORD, TOP = 64, 10
 #: Bits of a segment: about the logarithm of the number of codes, within these bounds.
 LEAST_BITS, MOST_BITS = 8, 22
+#: Codes that a look-up is to meet: it is made, dealt and sorted, while a code that it meets is only compared.
+MET = 8
 
 
 def words_of(rows: DataFrame, vector_col: str = "embedding") -> int:
@@ -62,7 +65,7 @@ def segments_of(words: int, entries: int) -> list[tuple[int, int, int]]:
 def nearest_codes(asked: DataFrame, index: DataFrame, words: int, k: int) -> DataFrame:
     """asked: q (distinct codes); index as code_index() gives.  q, code, distance: the k nearest codes of each q."""
     entries = index.count()
-    segments = segments_of(words, entries)
+    segments = segments_of(words, entries // MET)
     m = len(segments)
     value = lambda c, s: F.shiftrightunsigned(F.get(c, F.lit(s[0])), s[1]).bitwiseAND(F.lit((1 << s[2]) - 1).cast("long"))
     parts = lambda c: F.array(*[F.struct(F.lit(j).alias("seg"), value(c, s).alias("value")) for j, s in enumerate(segments)])
@@ -74,17 +77,23 @@ def nearest_codes(asked: DataFrame, index: DataFrame, words: int, k: int) -> Dat
     first = lambda hits, n: hits.withColumn("_r", F.row_number().over(ahead)).where(F.col("_r") <= n).drop("_r")
 
     def met(probes: Column, pending: DataFrame, found: DataFrame) -> DataFrame:
-        """probes: (seg, value) of each query.  Look-ups are many more than queries, so both sides are dealt by value."""
-        looked = pending.select("q", F.inline(probes)).join(found.hint("merge"), ["seg", "value"])
-        return looked.select("q", "code", apart.alias("distance"), "n", "least")
+        """probes: (seg, value) of each query; pending: q, limit (the distance of the k-th that is known, null before).
 
-    best = materialise(first(first(met(parts(F.col("q")), asked, lookup), m * k).distinct(), k), "nearest")
+        Look-ups are many more than queries, so both sides are dealt by value; what is farther than the limit goes within the join.
+        """
+        looked = pending.select("q", "limit", F.inline(probes)).join(found.hint("merge"), ["seg", "value"])
+        near = looked.where(F.col("limit").isNull() | (apart <= F.col("limit")))
+        return near.select("q", "code", apart.alias("distance"), "n", "least")
+
+    unlimited = asked.withColumn("limit", F.lit(None).cast("int"))
+    best = materialise(first(first(met(parts(F.col("q")), unlimited, lookup), m * k).distinct(), k), "nearest")
     for radius, j in itertools.product(range(1, max(s[2] for s in segments) + 1), range(m)):
         covered = m * radius + j - 1
         upto = F.sum("n").over(ahead.rowsBetween(Window.unboundedPreceding, 0))
         all_of_them = F.count("*").over(Window.partitionBy("q")) == entries
         done = best.select("q", (all_of_them | (upto >= k) & (F.col("distance") <= covered)).alias("_done")).where("_done").select("q").distinct()
-        pending = asked.join(done, "q", "left_anti")
+        limits = best.select("q", F.when(upto >= k, F.col("distance")).alias("_d")).groupBy("q").agg(F.min("_d").alias("limit"))
+        pending = asked.join(done, "q", "left_anti").join(limits, "q", "left")
         if covered >= WORD * words or pending.isEmpty():
             break
         if radius > segments[j][2]:

@@ -1,5 +1,6 @@
 import random
 
+from callmark.llm import hamming
 from callmark.llm.hamming import op1_multi_index_hashing, segments_of, top_k
 from tests.llm.conftest import SF
 
@@ -49,3 +50,12 @@ def test_wide_codes(spark):
 def test_segments():
     assert [s[2] for s in segments_of(1, 50_000)] == [16] * 4 and [s[2] for s in segments_of(1, 2**40)] == [21, 21, 22]
     assert sum(s[2] for s in segments_of(3, 5)) == 192
+
+
+def test_a_value_of_a_segment_has_several_codes(spark, monkeypatch):
+    rng, seen, whole = random.Random(6), [], hamming.segments_of
+    monkeypatch.setattr(hamming, "segments_of", lambda *given: seen.append(whole(*given)) or seen[-1])
+    rows = [(i, [rng.gauss(0, 1) for _ in range(64)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in top_k(df, df.where("vec_id % 1500 = 0"), 3).collect()} == brute(rows, [rows[0], rows[1500]], 3)
+    assert all(2 * 2 ** bits <= 3000 for _, _, bits in seen[-1])
