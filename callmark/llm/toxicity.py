@@ -27,11 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callmark.llm.common import in_worker, materialise, own_name, table
+from callmark.llm.common import in_small_batches, in_worker, materialise, own_name, table
+from callmark.llm.words import BASE, mixed
 
 #: The letters of the character model; everything else is a border of words.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿß"
@@ -57,10 +59,14 @@ THRESHOLD = 0.7
 PIECE, LONG = 3, 40
 #: Characters of no width.
 WIDTHLESS = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]+")
-#: Pieces with blanks of any kind between; the last may have punctuation.
-SPACED = re.compile(r"(?<!\S)\S{1,%d}(?:\s+\S{1,%d})+(?=[\s.,;:!?]|$)" % (PIECE, PIECE))
+#: A longer word that begins as a last piece with punctuation behind it.
+LAST = re.compile(r"\S{1,%d}(?=[.,;:!?])" % PIECE)
+#: Separators are borders or nothing, as blanks are.
+BLANKS = str.maketrans(dict.fromkeys(SEPARATORS, " "))
 #: Words that a Python worker remembers in each of its memories; beyond it a memory starts anew.
 REMEMBERED = 20_000
+#: Words that are hashed together, hashes that are merged together; features that are held before their counts are told, and names of features.
+HASHED, MERGED, HELD, NAMED = 20_000, 500_000, 1_000_000, 200_000
 #: Rows where this is 1 are held out.
 FOLD_SQL = "crc32(cast(doc_id as string)) % 3"
 
@@ -158,8 +164,54 @@ class Restorer:
             best = after
         return min((so_far + cost[a][b][0], text) for (a, b), (so_far, text) in best.items())[1]
 
+    def decode_plain(self, seen: str, pieces: list[str]) -> list[str]:
+        """decode_run where every sign is a letter that differs from the one before, so that it can only stand for itself.
+
+        At most two states remain after the first letter of a piece (the gap dropped, or a border) and one after its second.
+        """
+        cost, codes = self.cost, self.codes
+        states: list[tuple[int, int, float, tuple | None]] = []
+        for piece in pieces:
+            i = codes[piece[0]]
+            if not states:
+                states = [(0, i, (0.0 if seen[0] in codes else SKIP) + cost[0][0][i], (None, piece))]
+            else:
+                drop = border = math.inf
+                for a, b, so_far, read in states:
+                    own = cost[a][b]
+                    total = so_far + SKIP + own[i]
+                    if total < drop:
+                        drop, dropped = total, read
+                    total = so_far + own[0]
+                    if total < border:
+                        border, ended = total, read
+                states = [(b, i, drop, (dropped, piece)), (0, i, border + cost[b][0][i], (ended, " " + piece))]
+            for c in piece[1:]:
+                j = codes[c]
+                a, b, best, read = states[0]
+                best += cost[a][b][j]
+                if len(states) > 1:
+                    a, _, other, known = states[1]
+                    other += cost[a][b][j]
+                    if other < best:
+                        best, read = other, known
+                states = [(b, j, best, read)]
+        out, read = [], min(((so_far + cost[a][b][0], n, read) for n, (a, b, so_far, read) in enumerate(states)), default=(0, 0, None))[2]
+        while read is not None:
+            read, x = read
+            out.append(x)
+        return "".join(reversed(out)).split()
+
     def decode_run(self, seen: str) -> list[str]:
         """The words of a text in pieces: as decode, but each blank or separator is dropped or a border of words.  Time and memory are linear."""
+        pieces = seen.translate(BLANKS).split()
+        letters = "".join(pieces)
+        if self.codes.keys() >= set(letters) and not any(map(operator.eq, letters, letters[1:])):
+            return self.decode_plain(seen, pieces)
+        return self.decode_lattice(seen)
+
+    def decode_lattice(self, seen: str) -> list[str]:
+        """decode_run for any signs."""
         cost, codes = self.cost, self.codes
         signs, gaps, edge = [], [], []  # characters, how many blanks and separators stand before each, whether it stands around a word
         between = 0
@@ -255,21 +307,44 @@ def plain(text: str | None) -> str:
     return unicodedata.normalize("NFKC", WIDTHLESS.sub("", low))
 
 
+def thrice(low: str) -> bool:
+    """Whether a letter stands three times in a row anywhere."""
+    c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    again = c[1:] == c[:-1]
+    return any([low[at].isalpha() for at in np.flatnonzero(again[1:] & again[:-1]).tolist()])
+
+
+def spaced(words: list[str]) -> Iterator[str]:
+    """Runs of two or more pieces among the words of a text; the last may have punctuation behind it."""
+    short = [i for i, w in enumerate(words) if len(w) <= PIECE]
+    ends = [i for i, after in zip(short, [*short[1:], -2]) if after != i + 1]
+    starts = [i for i, before in zip(short, [-2, *short]) if before != i - 1]
+    for lo, hi in zip(starts, ends):
+        hi += 1
+        last = LAST.match(words[hi]) if hi < len(words) else None
+        if last:
+            yield " ".join([*words[lo:hi], last.group()])
+        elif hi - lo > 1:
+            yield " ".join(words[lo:hi])
+
+
 def restored_words(text: str | None, restorer: Restorer) -> set[str]:
     """The distinct words of a whole text, disguised ones restored."""
     low = plain(text)
-    words: set[str] = set()
-    for w in set(low.split()):
+    all_words = low.split()
+    seen, repeated = set(all_words), thrice(low)
+    words = set() if repeated else {w for w in seen if w.isalpha()}
+    for w in seen - words:
         core = w.strip(AROUND)
-        if core.isalpha() and not THRICE.search(core):
+        if core.isalpha() and not (repeated and THRICE.search(core)):
             words.add(core)
         elif not core.isalpha() and not SEPARATORS.isdisjoint(core) and restorer.odd(w):
             words.update(restorer.run(w))  # one word, or several, with separators between
         else:
             words.add(restorer.word(w))
-    for m in SPACED.finditer(low):
-        if sum([c in restorer.codes for c in m.group()]) >= 2:
-            words.update(restorer.run(m.group()))
+    for run in spaced(all_words):
+        if sum([c in restorer.codes for c in run]) >= 2:
+            words.update(restorer.run(run))
     words.discard("")
     return words
 
@@ -278,14 +353,85 @@ def features(word: str) -> list[str]:
     return ["=" + word, *[word[:n] for n in BEGINNINGS if n <= len(word)]]
 
 
-class Features(dict):
-    """The features of a word, remembered."""
-
-    def __missing__(self, word: str) -> list[str]:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = out = features(word)
-        return out
+def feature_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the features of words: of which word, how many letters of it (0: the whole word), hash."""
+    c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    whole = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64)
+    which, letters, found = [np.arange(len(words))], [np.zeros(len(words), dtype=np.int64)], [whole]
+    at, h = np.arange(len(words)), np.zeros(len(words), dtype=np.uint64)
+    for n in range(1, BEGINNINGS[-1] + 1):
+        long = sizes[at] >= n
+        at, h = at[long], h[long]
+        h = mixed(h * np.uint64(BASE) + c[starts[at] + n - 1])
+        if n in BEGINNINGS:
+            which.append(at)
+            letters.append(np.full(len(at), n))
+            found.append(h)
+    return np.concatenate(which), np.concatenate(letters), np.concatenate(found)
+
+
+class FeatureCounts:
+    """In how many rows of each label a feature is, by 64-bit hashes; those of toxic rows have their names with them."""
+
+    def __init__(self):
+        self.rows, self.names = [0, 0], {}
+        self.values, self.n = [np.zeros(0, np.uint64)] * 2, [np.zeros(0, np.int64)] * 2
+        self.seen, self.held = ([], []), 0
+        self.words, self.sizes = ([], []), ([], [])
+
+    def add(self, words: set[str], toxic: int) -> None:
+        self.rows[toxic] += 1
+        self.words[toxic].extend(words)
+        self.sizes[toxic].append(len(words))
+        if len(self.words[toxic]) >= HASHED:
+            self.hash(toxic)
+            if self.held >= MERGED:
+                self.merge()
+
+    def hash(self, toxic: int) -> None:
+        words, sizes = self.words[toxic], self.sizes[toxic]
+        which, letters, h = feature_hashes(words)
+        row = np.repeat(np.arange(len(sizes)), sizes)[which]
+        order = np.lexsort((h, row))
+        row, h = row[order], h[order]
+        once = np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, bool)  # a feature counts once a row
+        if toxic:
+            at = order[once]
+            for x, i, n in zip(h[once].tolist(), which[at].tolist(), letters[at].tolist()):
+                if x not in self.names:
+                    self.names[x] = words[i][:n] if n else "=" + words[i]
+        self.seen[toxic].append(h[once])
+        self.held += len(self.seen[toxic][-1])
+        words.clear()
+        sizes.clear()
+
+    def merge(self) -> None:
+        for k in (0, 1):
+            self.hash(k)
+            both = np.concatenate([self.values[k], *self.seen[k]])
+            order = np.argsort(both)
+            both = both[order]
+            starts = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+            n = np.concatenate([self.n[k], np.ones(len(both) - len(self.n[k]), np.int64)])[order]
+            self.values[k], self.n[k] = both[starts], np.add.reduceat(n, starts) if len(both) else n
+            self.seen[k].clear()
+        self.held = 0
+
+    def full(self) -> bool:
+        return sum(map(len, self.values)) > HELD or len(self.names) > NAMED
+
+    def told(self) -> Iterator[pd.DataFrame]:
+        """What has been counted so far, in parts; counts start anew.  Without a feature: a number of rows (key null), or a feature of clean rows."""
+        self.merge()
+        yield pd.DataFrame({"key": pd.array([None, None], dtype="Int64"), "feature": pd.Series([None, None], dtype=object), "toxic": [0, 1], "n": self.rows})
+        for k in (0, 1):
+            for at in range(0, len(self.n[k]), 100_000):
+                h = self.values[k][at : at + 100_000]
+                names = [self.names[x] for x in h.tolist()] if k else [None] * len(h)
+                yield pd.DataFrame({"key": pd.array(h.view(np.int64), dtype="Int64"), "feature": pd.Series(names, dtype=object), "toxic": k, "n": self.n[k][at : at + 100_000]})
+        self.__init__()
 
 
 class WordScores(dict):
@@ -322,25 +468,20 @@ def learn(rows: DataFrame, labels: DataFrame, model: bytes, keep: list[str] | No
     known = with_labels(rows.select("doc_id", "text"), labels).select("text", "toxic")
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer, n, known_features = restorer_of(model), (Counter(), Counter()), Features()
-        told = lambda k: pd.DataFrame({"feature": pd.Series(list(n[k]), dtype=object), "toxic": k, "n": list(n[k].values())})
+        restorer, counted = restorer_of(model), FeatureCounts()
         for b in batches:
             for t, toxic in zip(b["text"], b["toxic"]):
-                own = n[1 if toxic == 1 else 0]
-                own[""] += 1  # documents
-                own.update({f for w in restored_words(t, restorer) for f in known_features[w]})
-                if len(n[0]) + len(n[1]) > 400_000:
-                    for k in (0, 1):
-                        yield told(k)
-                        n[k].clear()
-        yield from (told(k) for k in (0, 1) if n[k])
-
-    counted = known.mapInPandas(counts, "feature string, toxic int, n long").groupBy("feature")
-    counted = counted.agg(F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("n"))), F.lit(0)).alias("toxic"), F.coalesce(F.sum(F.when(F.col("toxic") == 0, F.col("n"))), F.lit(0)).alias("clean"))
-    counted = materialise(counted.where((F.col("feature") == "") | (F.col("toxic") >= LEAST_ROWS)), "features")
-    all_rows = counted.where("feature = ''").select("toxic", "clean").first() or (0, 0)
+                counted.add(restored_words(t, restorer), int(toxic == 1))
+                if counted.full():
+                    yield from counted.told()
+        yield from counted.told()
+
+    counted = known.mapInPandas(counts, "key long, feature string, toxic int, n long").groupBy("key")
+    counted = counted.agg(F.max("feature").alias("feature"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("n"))), F.lit(0)).alias("toxic"), F.coalesce(F.sum(F.when(F.col("toxic") == 0, F.col("n"))), F.lit(0)).alias("clean"))
+    counted = materialise(counted.where(F.col("key").isNull() | (F.col("toxic") >= LEAST_ROWS)), "features")
+    all_rows = counted.where("key is null").select("toxic", "clean").first() or (0, 0)
     share = lambda c, n: F.log((F.col(c) + 0.5) / (n + 1))
-    odds = counted.where("feature <> ''").select("feature", (share("toxic", all_rows[0]) - share("clean", all_rows[1])).alias("odds"))
+    odds = counted.where("key is not null").select("feature", (share("toxic", all_rows[0]) - share("clean", all_rows[1])).alias("odds"))
     weights = {r["feature"]: r["odds"] for r in odds.where(F.col("odds") >= LEAST).collect()}  # features of at most TRAIN_ROWS rows
 
     places = [i for i, name in enumerate(rows.schema.names) if keep is None or name in keep]
@@ -375,6 +516,7 @@ def logistic_curve(seen: pd.DataFrame) -> np.ndarray:
     return w
 
 
+@in_small_batches
 def with_scores(rows: DataFrame, labels: DataFrame, score: str = "score", train_rows: int = TRAIN_ROWS, keep: list[str] | None = None) -> DataFrame:
     """rows (doc_id, text and others; of these the columns `keep`, or all) with their scores.  The character model covers all rows, the rest is learned from labelled ones outside the held-out fold."""
     model = character_model(character_counts(rows)).astype(np.float16).tobytes()

@@ -145,3 +145,37 @@ def test_runs_find_the_cheapest_reading():
 
         best = min(product(*choices), key=price)
         assert restorer.decode_run(seen) == "".join(x for x, _ in best).split(), seen
+
+
+def test_fast_ways_give_the_same():
+    """Runs of plain letters as the whole lattice reads them, runs of pieces as a pattern finds them, features as plain counts have them."""
+    import random
+    import re
+    from collections import Counter
+
+    from callmark.llm import toxicity as T
+
+    rng = random.Random(3)
+    restorer = Restorer(np.random.default_rng(7).random((SIZE, SIZE, SIZE)).astype(np.float16).astype(np.float32) * 3)
+    pattern = re.compile(r"(?<!\S)\S{1,3}(?:\s+\S{1,3})+(?=[\s.,;:!?]|$)")
+    texts = ["".join(rng.choice("aab bc  de.,!-1o \t\u00df\u00e9\x1cxz") for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    texts += [" ".join(rng.choice(["a", "de", "la", "of", "the", "to", "x"]) for _ in range(rng.randint(1, 9))) for _ in range(2000)]
+    for t in texts:
+        assert [" ".join(m.group().split()) for m in pattern.finditer(t)] == list(T.spaced(t.split()))
+        assert restorer.decode_run(t) == restorer.decode_lattice(t)
+        assert T.thrice(t) == any(a == b == c and a.isalpha() for a, b, c in zip(t, t[1:], t[2:]))
+    counted, want = T.FeatureCounts(), (Counter(), Counter())
+    for i in range(300):
+        words = {"".join(rng.choice("ab\u00df") for _ in range(rng.randint(1, 14))) for _ in range(rng.randint(0, 60))}
+        counted.add(words, i % 2)
+        want[i % 2].update({f for w in words for f in T.features(w)})
+        if i % 70 == 0:
+            counted.merge()
+    counted.merge()
+    names = dict(counted.names)
+    assert counted.rows == [150, 150]
+    assert {names[h]: n for h, n in zip(counted.values[1].tolist(), counted.n[1].tolist())} == want[1]
+    assert sorted(counted.n[0].tolist()) == sorted(want[0].values())
+    assert {names[h]: n for h, n in zip(counted.values[0].tolist(), counted.n[0].tolist()) if h in names} == {f: n for f, n in want[0].items() if f in want[1]}
+    told = list(counted.told())
+    assert sum(int(x["n"].sum()) for x in told) == 300 + sum(x.total() for x in want) and not counted.names
