@@ -13,21 +13,29 @@ Nulls and empty texts have only the end-of-document id.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callmark.llm.common import Remembered, in_worker, materialise, table
+from callmark.llm.common import Remembered, in_small_batches, in_worker, materialise, table
 
 WINDOW, GRID, EOD = 4096, 16, 2
 #: Cells in which the pieces of one length are numbered apart.
 CELLS = 256
-#: Distinct chunks that one Python worker remembers in each of two generations; chunks that are encoded together; documents per step.
-REMEMBERED, TOGETHER, STEP = 300_000, 500, 500
+#: Distinct words that one Python worker remembers in each of two generations; words that are encoded together; bytes of text per step.
+REMEMBERED, TOGETHER, STEP = 300_000, 500, 4_000_000
+#: Letters that are letters in every edition of Unicode, stay as they are in NFC and have one letter in lower case, and ASCII signs behind them.
+WORD = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)(?P<signs>[!-/:-@\[-`{-~]*)$"
+#: The rules of a tokenizer file under which a run of letters in lower case is one word, and signs behind it are another.
+NORMALIZERS, SPLITTERS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
+PATTERN, SPECIAL, END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", re.compile(r"<\|[a-z]+\|>"), "</w>"
 
 
 def combinations(window: int, grid: int) -> list[tuple[int, ...]]:
@@ -152,40 +160,108 @@ def pack(pieces: DataFrame, window: int = WINDOW, grid: int = GRID, length_col:
     return placed.select(*pieces.columns, "sequence_id", "offset")
 
 
+def strung(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of a list that lies flat in ids, with these sizes, one after the other, and where each of them ends."""
+    counts, starts = sizes[which], (np.cumsum(sizes) - sizes)[which]
+    ends = np.cumsum(counts)
+    places = np.repeat(starts - ends + counts, counts)
+    places += np.arange(len(places))
+    return ids[places], ends
+
+
 class Ids:
-    """Ids of whole texts by the tokenizers library, remembered by chunks between ASCII white space."""
+    """Ids of whole texts by the tokenizers library, remembered by words.
+
+    White space parts words in this kind of vocabulary, so chunks between ASCII white space stand alone.  A chunk of
+    Latin letters with or without signs behind it is the word in lower case and the signs.  Such words need neither
+    the file's normalizer nor its splitter, which take most of the library's time.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library, self.known = Tokenizer.from_file(path), Remembered(REMEMBERED)
         self.library.no_padding()
         self.library.no_truncation()
+        self.words = None
+        if self.parts_words(json.loads(self.library.to_str())):
+            self.words = Tokenizer(self.library.model)
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocab = self.words.get_vocab()
+            self.last = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+            self.last[[i for t, i in vocab.items() if t.endswith(END)]] = True
 
     @staticmethod
     def of(path: str) -> Ids:
         """One for all tasks of a Python worker."""
         return in_worker(Ids, path)
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids.  White space parts words in this kind of vocabulary, so chunks stand alone."""
-        chunks = [t.split() for t in texts]
-        missing = self.known.missing(set().union(*chunks))
-        for at in range(0, len(missing), 20 * TOGETHER):
-            part = missing[at : at + 20 * TOGETHER]
-            groups = [[c.decode() for c in part[k : k + TOGETHER]] for k in range(0, len(part), TOGETHER)]
-            for k, (group, found) in enumerate(zip(groups, self.library.encode_batch([" ".join(g) for g in groups], add_special_tokens=False))):
-                ids, starts = np.array(found.ids, dtype="<u4").tobytes(), [o[0] for o in found.offsets]
-                cuts = np.searchsorted(starts, np.cumsum([0] + [len(c) + 1 for c in group])).tolist()
-                self.known.now.update(zip(part[k * TOGETHER :], [ids[4 * x : 4 * y] for x, y in zip(cuts, cuts[1:])]))
-        known = self.known.now
-        return [b"".join(map(known.__getitem__, c)) for c in chunks]
+    @staticmethod
+    def parts_words(spec: dict) -> bool:
+        """Whether a tokenizer file has the rules above."""
+        normalizers = (spec["normalizer"] or {}).get("normalizers", [])
+        splitters = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if [n["type"] for n in normalizers] != NORMALIZERS or [p["type"] for p in splitters] != SPLITTERS:
+            return False
+        replace, (split, level), model = normalizers[1], splitters, spec["model"]
+        return (
+            (replace["pattern"], replace["content"]) == ({"Regex": r"\s+"}, " ")
+            and (split["pattern"], split["behavior"], split["invert"]) == ({"Regex": PATTERN}, "Removed", True)
+            and not (level["add_prefix_space"] or level["use_regex"])
+            and (model["type"], model.get("end_of_word_suffix"), model.get("dropout")) == ("BPE", END, None)
+            and all(SPECIAL.fullmatch(t["content"]) for t in spec["added_tokens"])
+        )
+
+    def of_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, one after the other, and how many each has."""
+        word, signs = pc.extract_regex(chunks, WORD).flatten() if self.words else [pa.nulls(len(chunks), chunks.type)] * 2
+        coded = [pc.utf8_lower(word).dictionary_encode(), pc.coalesce(signs, chunks).dictionary_encode()]
+        words, others = (c.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist() for c in coded)
+        self.encode(self.known.missing(set(words)), self.by_last_tokens)
+        self.encode(self.known.also_missing(set(others)), self.by_offsets)
+        known = self.known.now.__getitem__
+        ids = [*map(known, words), *map(known, others), b""]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first, then = (c.indices.fill_null(-1).to_numpy() for c in coded)  # the last one, without ids, where there is no word
+        found, ends = strung(np.frombuffer(b"".join(ids), dtype="<u4"), sizes, np.column_stack([first, then + len(words)]).ravel())
+        return found, np.diff(ends[1::2], prepend=0)
+
+    def encode(self, chunks: list[bytes], cut) -> None:
+        for at in range(0, len(chunks), 20 * TOGETHER):
+            groups = [chunks[k : k + TOGETHER] for k in range(at, min(at + 20 * TOGETHER, len(chunks)), TOGETHER)]
+            for group, (ids, cuts) in zip(groups, cut(groups)):
+                ids = ids.tobytes()
+                self.known.now.update(zip(group, [ids[4 * x : 4 * y] for x, y in zip(cuts, cuts[1:])]))
+
+    def by_last_tokens(self, groups: list[list[bytes]]) -> Iterator[tuple[np.ndarray, list[int]]]:
+        """Ids of a group's words, and where each word's begin; a word's last token, and no other, has the end of a word."""
+        for group, found in zip(groups, self.words.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, dtype="<u4")
+            cuts = [0, *(np.flatnonzero(self.last[ids]) + 1).tolist()]
+            if len(cuts) == len(group) + 1:
+                yield ids, cuts
+            else:  # the vocabulary lacks a byte, so that a word has no last token
+                yield from self.by_offsets([group])
+
+    def by_offsets(self, groups: list[list[bytes]]) -> Iterator[tuple[np.ndarray, list[int]]]:
+        """The same for any chunks."""
+        groups = [[c.decode() for c in g] for g in groups]
+        for group, found in zip(groups, self.library.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            starts = [o[0] for o in found.offsets]
+            yield np.array(found.ids, dtype="<u4"), np.searchsorted(starts, np.cumsum([0] + [len(c) + 1 for c in group])).tolist()
 
     def of_column(self, column: pa.Array) -> Iterator[tuple[int, bytes]]:
-        """Row and ids of every text of an Arrow column, in order; nulls are empty."""
-        for at in range(0, len(column), STEP):  # bounds what one step holds
-            texts = column.slice(at, STEP).cast(pa.binary()).to_pylist()
-            yield from enumerate(self([t or b"" for t in texts]), at)
+        """Row and ids, little-endian unsigned 32-bit, of every text of an Arrow column, in order; nulls are empty."""
+        column = column.cast(pa.large_string()).fill_null("")
+        ends, at = np.cumsum([0, *pc.binary_length(column).to_pylist()]), 0
+        while at < len(column):  # steps bound what is held at once
+            upto = max(at + 1, int(np.searchsorted(ends, ends[at] + STEP, "right")) - 1)
+            chunks = pc.ascii_split_whitespace(column.slice(at, upto - at))
+            distinct = chunks.values.dictionary_encode()
+            found, till = strung(*self.of_chunks(distinct.dictionary), distinct.indices.to_numpy())
+            borders = np.concatenate([[0], till])[chunks.offsets.to_numpy()].tolist()
+            yield from ((row, found[x:y].tobytes()) for row, x, y in zip(range(at, upto), borders, borders[1:]))
+            at = upto
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, eod: int = EOD, window: int = WINDOW, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,8 +290,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, eod: int = EOD, window: int =
     return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
 
 
+@in_small_batches
+def pack_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Pieces without ids, and where they lie in the packed sequences."""
+    return pack(materialise(token_pieces(docs, tokenizer, with_ids=False), "pieces"))
+
+
 def op8_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    pieces = token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
-    return pack(materialise(pieces, "pieces"))
+    return pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callmark.llm.common import fresh_path, materialise, table
+from callmark.llm.common import fresh_path, in_small_batches, materialise, table
 from callmark.llm.packing import Ids
 
 #: 0xD080: its two bytes are a letter of UTF-8, which Spark's text sink takes as the end of a line.
@@ -29,6 +29,7 @@ BLOCK, PER_FILE, BLOCKS_PER_TASK = 1 << 21, 8, 64
 END = EOD.to_bytes(2, "big")
 
 
+@in_small_batches
 def write_flat(docs: DataFrame, tokenizer: str, path: str, text_col: str = "text", block: int = BLOCK) -> None:
     """Flat files of about PER_FILE blocks of `block` bytes each; a document is never cut.
 

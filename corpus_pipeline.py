@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from callmark.llm.common import materialise, table
 from callmark.llm.ngram_join import one_of_each
-from callmark.llm.packing import pack, token_pieces
+from callmark.llm.packing import pack_texts
 from callmark.llm.secrets import samples, train, without_secrets
 from callmark.llm.suffixes import repeats, without_repeats
 from callmark.llm.toxicity import without_toxic
@@ -46,8 +46,7 @@ def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 ids, digests of their ids, and where they lie in the packed sequences."""
     import public_tokenizers
 
-    pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
-    return pack(materialise(pieces, "pieces"))
+    return pack_texts(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

@@ -1,11 +1,14 @@
+import json
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from callmark.llm.packing import combinations, least_squares, op8_nnls_packing, plan
+from callmark.llm.packing import Ids, combinations, least_squares, op8_nnls_packing, plan
 from tests.llm.conftest import SF, documents
 
 
@@ -75,3 +78,55 @@ def test_least_squares_meets_a_histogram_it_can_meet():
         for part in way:
             made[part - 1] += t
     assert x.min() >= 0 and np.abs(made - counts).max() < 0.05
+
+
+def of_library(library, texts):
+    return [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_forms_of_a_word_are_encoded_once():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = [f"{a}{b}{c}ungsé" for a in "bcdfgk" for b in "aeiouü" for c in "lmnrst"]
+    texts = [" ".join(f for w in words for f in (w, w.title(), w.upper() + ",", w + '...)"')), None, ""]
+    ids = Ids(path)
+    assert [found for _, found in ids.of_column(pa.array(texts))] == of_library(Tokenizer.from_file(path), texts)
+    assert len(ids.known.now) < len(words) + 10
+
+
+def test_ids_of_any_text(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(8)
+    every = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x11000)]]
+    latin = [*map(chr, range(0x250))]
+    bits = ["'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "H̱", "é", "≮", "İ", "Σ", "ς", "Ⱥ", "ǅ", "\xd7", "\xb2", " ", "\xa0", "\x1c", "\x85", "…", "a" * 70]
+    texts = ["".join(every[k : k + 97]) for k in range(0, len(every), 97)] + [f"{c}a a{c} a{c}. {c} {c.upper()}{c}, x{c}'s {c}́" for c in latin]
+    for _ in range(1500):
+        texts.append("".join(rng.choice((rng.choice(latin), rng.choice("aeinrstAEN"), rng.choice("aeinrst .,'!  \n"), rng.choice(bits))) for _ in range(rng.randrange(60))))
+    monkeypatch.setattr("callmark.llm.packing.STEP", 3000)
+    monkeypatch.setattr("callmark.llm.packing.REMEMBERED", 500)
+    ids = Ids(path)
+    rows = [*ids.of_column(pa.array(texts))]
+    assert [r for r, _ in rows] == [*range(len(texts))]
+    assert [texts[r] for (r, found), right in zip(rows, of_library(library, texts)) if found != right] == []
+    [*ids.of_column(pa.array(["a"]))]
+    assert max(map(len, [*ids.known.now, *ids.known.older])) <= ids.known.LONG
+
+
+def test_files_with_other_rules(tmp_path):
+    """Without lower case, with another splitter or with a plain word as special token the library splits every chunk."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        whole = f.read()
+    texts = ["The Tokens, don't; TOKENS the tokens! über Über."]
+    for k in range(3):
+        spec = json.loads(whole)
+        if k == 0:
+            spec["normalizer"]["normalizers"].pop()
+        elif k == 1:
+            spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}]|[^\s\p{L}]+"
+        else:
+            spec["added_tokens"].append(spec["added_tokens"][0] | {"id": spec["model"]["vocab"]["token</w>"], "content": "token"})
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(spec), encoding="utf-8")
+        ids = Ids(str(path))
+        assert ids.words is None
+        assert [found for _, found in ids.of_column(pa.array(texts))] == of_library(Tokenizer.from_file(str(path)), texts)
