@@ -30,7 +30,7 @@ WINDOW, GRID, EOD = 4096, 16, 2
 #: Cells in which the pieces of one length are numbered apart.
 CELLS = 256
 #: Distinct words that one Python worker remembers in each of two generations; words that are encoded together; bytes of text per step.
-REMEMBERED, TOGETHER, STEP = 300_000, 500, 4_000_000
+REMEMBERED, TOGETHER, STEP = 150_000, 500, 2_000_000
 #: Letters that are letters in every edition of Unicode, stay as they are in NFC and have one letter in lower case, and ASCII signs behind them.
 WORD = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)(?P<signs>[!-/:-@\[-`{-~]*)$"
 #: The rules of a tokenizer file under which a run of letters in lower case is one word, and signs behind it are another.
