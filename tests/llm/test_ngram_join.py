@@ -193,3 +193,19 @@ def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
     assert sizes and max(sizes) <= 2000 and spark.conf.get(AT_ONCE) == before
     own = ngram_join.prefix(np.arange(100, dtype=np.uint64), 80)
     assert own.base is None and own.tolist() == list(range(21))
+
+
+@pytest.mark.parametrize("others", [0, 40])
+def test_each_pair_that_may_be_near_gets_into_one_family(others):
+    """Two rows of one component that both may be near a third: either of them alone may be the one that is linked to it."""
+    n = 3 + others
+    ids, sizes = np.arange(1, n + 1), np.full(n, 100)
+    component = np.array([1, 1, 3, *range(4, n + 1)])
+    bits = narrow(np.arange(100, dtype=np.uint64) << np.uint64(41)).tobytes()
+    far = narrow(np.arange(300, 400, dtype=np.uint64) << np.uint64(40)).tobytes()
+    zero = np.zeros(n, np.int64)
+    columns = {"token": zero + 7, "bi": zero, "bj": zero, "part": zero, "n": sizes, "place": zero, "component": component, "doc_id": ids}
+    table = pa.table({**columns, "bits": pa.array([bits] * 3 + [far] * others, pa.binary())})
+    found = [(a, b) for out in ngram_join.candidate_edges(iter(table.to_batches()), 90) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist())]
+    assert {x for e in found if min(e) <= 3 for x in e} == {1, 2, 3}
+    assert all((a <= 3) == (b <= 3) for a, b in found)
