@@ -25,6 +25,8 @@ ROW = ["chrom", "pos", "ref", "alt", "side"]
 STRETCH = 1 << 20
 #: Parts in which equal rows are numbered.
 PARTS = 64
+#: Blocks, with their bases, that go to Python at once.
+BLOCKS_AT_ONCE = 16
 
 
 def _before(table: DataFrame, keys: list[str], at: str, value: str, out: str) -> DataFrame:
@@ -148,7 +150,7 @@ def by_haplotypes(blocked: DataFrame, reference: DataFrame, haps: int = 2, most:
     done = with_bases.select("chrom", "block", "_rows", masks("_bases", "_from", seen).alias("_m"))
     zipped = F.transform("_rows", lambda r, i: F.struct(r.alias("r"), (F.get(F.col("_m.masks"), i) > 0).alias("matched")))
     flat = done.select("chrom", "block", F.explode(zipped).alias("_z"), F.col("_m.proven").alias("proven"))
-    flat = flat.select("chrom", "block", "_z.r.*", "_z.matched", "proven")
+    flat = written(flat.select("chrom", "block", "_z.r.*", "_z.matched", "proven"), "assigned", BLOCKS_AT_ONCE)
     columns = [*rows.columns, "matched", "proven"]
     return flat.select(*columns).unionByName(large.withColumns({"matched": F.lit(None).cast("boolean"), "proven": F.lit(False)}).select(*columns))
 

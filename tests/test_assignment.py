@@ -5,7 +5,7 @@ from itertools import product
 
 import pytest
 
-from callmark.operators import allele_blocks
+from callmark.operators import allele_blocks, assignment
 from callmark.operators.assignment import Allele, agreeing, assigned, placements, rotated, ways_to_assign
 
 #: A contig of published tests.
@@ -192,3 +192,19 @@ def test_frequent_alleles_are_counted_copy_by_copy(spark):
         key = (r["pos"], r["side"], r["decision"])
         got[key] = got.get(key, 0) + 1
     assert got == {(100, 0, "TP"): 170, (100, 0, "FN"): 130, (100, 1, "TP"): 170, (6, 0, "TP"): 2, (12, 0, "TP"): 1, (12, 0, "FN"): 1, (6, 1, "TP"): 3}
+
+
+def test_places_where_both_samples_are_level_stand_alone(monkeypatch):
+    """Single bases are paired place by place, and a search goes no further than its own surroundings."""
+    bases = "".join("ACGT"[(i * 7 + i // 5) % 4] for i in range(3000))
+    changed = lambda i, n=1: "ACGT"[("ACGT".index(bases[i]) + n) % 4]
+    alleles = [Allele(side, i, i, changed(i)) for i in range(10, 2900, 10) for side in (0, 1)]
+    alleles += [Allele(0, i, i, changed(i, 2)) for i in range(15, 2900, 50)]  # only the truth has these
+    indels = [Allele(side, i, i - 1, "GATTACA") for i in range(13, 2900, 500) for side in (0, 1)]
+    asked, search = [], assignment._pass
+    monkeypatch.setattr(assignment, "_pass", lambda bases, at, alleles, order, first, *rest: asked.append((first, got := search(bases, at, alleles, order, first, *rest))) or got)
+    masks, proven = assigned(bases, 0, alleles)
+    assert proven and not asked and [m > 0 for m in masks] == [i < 578 for i in range(len(alleles))] and agreeing(bases, 0, alleles, masks)
+    masks, proven = assigned(bases, 0, alleles + indels)
+    assert proven and all(masks[-len(indels):]) and agreeing(bases, 0, alleles + indels, masks)
+    assert len(asked) >= 6 and max(got[0] - first for first, got in asked) < 20
