@@ -234,3 +234,19 @@ def test_repeated_info_keys(spark):
     rows = spark.createDataFrame([("DP=1;X;DP=2", "GT:A:A", "0/1:3")], "i string, k string, v string")
     r = rows.select(C.info_map(F.col("i")).alias("i"), C.format_map(F.col("k"), F.col("v")).alias("f")).first()
     assert r["i"] == {"DP": "1", "X": "true"} and r["f"] == {"GT": "0/1", "A": "3"}
+
+
+def test_complex_alleles_are_aligned_when_they_are_taken_apart(spark):
+    """A published alignment: five bases inserted, three deleted, none changed."""
+    ref, alt = "CCCCAAATGACGGGGCATTGCCACACA", "CCCCAAATGACCACCAGGATTGCCACACA"
+    got = germline.prepared(records(spark, "c", [(3, ref, alt, "0/1")]), genome(spark, "c", "GT" + ref + "GT"), decompose=True).collect()
+    assert sorted((len(r["ref"]), len(r["alts"][0])) for r in got) == [(1, 6), (4, 1)] and all(r["gt"] == [0, 1] for r in got)
+
+
+def test_calls_of_the_query_are_shifted(spark):
+    """Insertions and deletions of A that the adapter puts on the 20th place of a run are found at its beginning."""
+    from callmark.plans.catalogue import QUERIES
+
+    rows = QUERIES["germline_annotated"](spark, "/root/testdata/sf0.001").where("truth like '.%' and length(ref) <> length(alts) and alts not like '%,%'")
+    places = {r["at"]: r["count"] for r in rows.groupBy((F.col("pos") % 150).alias("at")).count().collect()}
+    assert places.get(20, 0) < 10 and places[0] > 100  # neighbours hold a few; unshifted, 281 stood there
